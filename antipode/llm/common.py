@@ -90,3 +90,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.bucketBy(buckets, "sender").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     _remove_at_exit(spark, path)
     return spark.table(name)
+
+
+def row_id():
+    """A staged row's number, unique in the table."""
+    return F.shiftleft(F.col("sender").cast("long"), 33).bitwiseOR(F.col("docno"))

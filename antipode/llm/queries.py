@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, packing, token_counts, toxicity
+from . import chat, exact_dedup, packing, token_counts, toxicity
 from .common import table
 
 QUERIES = {}
@@ -17,6 +17,21 @@ def query(f):
     return f
 
 
+@query
+def op3_exact_dedup(spark, sf_dir):
+    return exact_dedup.duplicate_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_exact_dedup"] = """
+SELECT doc_id,
+  max(doc_id) OVER same AS keep_id,
+  count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 @query
 def op5_chat_formatting(spark, sf_dir):
     own = spark.createDataFrame(
