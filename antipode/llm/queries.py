@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, packing, token_counts, toxicity
+from . import chat, exact_dedup, near_jaccard, packing, token_counts, toxicity
 from .common import table
 
 QUERIES = {}
@@ -32,6 +32,11 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return near_jaccard.component_report(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 @query
 def op5_chat_formatting(spark, sf_dir):
     own = spark.createDataFrame(
