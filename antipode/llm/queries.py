@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, near_jaccard, packing, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, near_jaccard, packing, token_counts, toxicity
 from .common import table
 
 QUERIES = {}
@@ -71,6 +71,11 @@ FROM said GROUP BY conv_id
 """
 
 
+@query
+def op6_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op7_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -174,3 +174,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str
     rows = docs.select(*columns, held_out(F.col("doc_id")).alias("held_out"), text_or_empty().alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
     return rows.mapInArrow(scored, f"{kinds}, score double, predicted int").select("doc_id", "held_out", "score", "predicted", *columns[1:])
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns, whatever their names."""
+    weights, bias = model.weights, model.bias
+
+    def keep(batches):
+        import pyarrow as pa
+
+        own = Model(weights, bias)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), text_or_empty().alias("text"))
+    return rows.mapInArrow(keep, rows.schema).select("doc.*")
