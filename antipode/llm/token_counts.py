@@ -33,29 +33,13 @@ from .common import cache, text_or_empty
 CHUNK = 1 << 15
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, the others
-    are numbered from U+0100 on."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    out = {chr(b): b for b in own}
-    for k, b in enumerate(b for b in range(256) if b not in set(own)):
-        out[chr(256 + k)] = b
-    return out
-
-
 class Transducer:
     """States are numbers; ``arcs[state]`` maps a byte to (next state, change of the token count)."""
 
     def __init__(self, compiled: dict, state_limit: int = 300_000):
-        import json
-
-        model = json.loads(compiled["json"])["model"]
-        alphabet = byte_alphabet()
-        spell = lambda t: bytes(alphabet[c] for c in t)
-        self.bytes_of = {i: spell(t) for t, i in model["vocab"].items()}
-        self.id_of = {b: i for i, b in self.bytes_of.items()}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.rank = {(spell(a), spell(b)): k for k, (a, b) in enumerate(merges)}
+        self.id_of, merges = bpe.spelt_vocabulary(compiled)
+        self.bytes_of = {i: b for b, i in self.id_of.items()}
+        self.rank = {pair: k for k, pair in enumerate(merges)}
         self.children: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
         for b, i in self.id_of.items():
@@ -68,7 +52,6 @@ class Transducer:
                 node = self.children[node][x]
             self.token_at[node] = i
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.alone = {}
         self.state_limit = state_limit
         self._forget()
 
@@ -142,14 +125,11 @@ class Counter:
         import regex
 
         self.transducer = Transducer(compiled)
-        self.split, self.special, self.chunk = bpe.splitter(compiled), bpe.special_splitter(compiled), chunk
-        self.memory = bpe.Memory(self.transducer.count, limit=600_000)
+        self.special, self.chunk = bpe.special_splitter(compiled), chunk
+        self.run = bpe.Pieces(bpe.splitter(compiled), self.transducer.count, sum)
         self.agree = regex.compile(r"(?<=\S)\s")
         self.agree_last = regex.compile(r"(?r)(?<=\S)\s")
 
-    def run(self, text: str) -> int:
-        return sum(map(self.memory.__getitem__, self.split(text)))
-
     def chunk_map(self, text: str) -> tuple:
         """(head,) if no place in it makes all states agree; else (head, count, tail)."""
         first = self.agree.search(text)
