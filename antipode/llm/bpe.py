@@ -144,8 +144,9 @@ class Pieces:
     white space or the end after it; such a piece is kept as None, which ``total`` can't take, and the
     text then goes through the split pattern as a whole."""
 
-    def __init__(self, split, of_word, total, limit: int = 400_000):
+    def __init__(self, split, of_word, total, of_ascii=None, limit: int = 400_000):
         self.split, self.total = split, total
+        self.of_ascii = of_ascii or self.plain
         self.words = Memory(of_word, limit)
         self.pieces = Memory(self._piece, limit)
 
@@ -153,7 +154,9 @@ class Pieces:
         return self.total(map(self.words.__getitem__, self.split(text)))
 
     def _piece(self, piece: str):
-        return None if not piece or piece[0].isspace() else self.plain(" " + piece)
+        if not piece or piece[0].isspace():
+            return None
+        return (self.of_ascii if piece.isascii() else self.plain)(" " + piece)
 
     def __call__(self, text: str):
         first, space, rest = text.partition(" ")
@@ -173,19 +176,23 @@ class Encoder:
 
         import tiktoken
 
-        # The file's merges run in the library that is quickest for single pre-tokens; the split is above.
-        merge = tiktoken.Encoding("file", pat_str=r"(?s:.+)", mergeable_ranks=merge_ranks(compiled), special_tokens={}).encode_ordinary
+        # The file's merges run in the library that is quickest for short strings. All versions of Unicode
+        # agree on ASCII, so there it may split too; other pieces are split by the pattern above.
+        def merger(pattern: str):
+            merge = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=merge_ranks(compiled), special_tokens={}).encode_ordinary
 
-        def ids(word: str) -> bytes:
-            found = merge(word)
-            return struct.pack(f"<{len(found)}I", *found)
+            def ids(word: str) -> bytes:
+                found = merge(word)
+                return struct.pack(f"<{len(found)}I", *found)
+
+            return ids
 
         self.special = special_splitter(compiled)
         self.specials = {k: struct.pack("<I", v) for k, v in compiled["specials"].items()}
-        self.plain = Pieces(splitter(compiled), ids, b"".join)
+        self.plain = Pieces(splitter(compiled), merger(r"(?s:.+)"), b"".join, merger(SPLIT.replace("{L}", LETTER).replace("{N}", NUMBER)))
 
     def __call__(self, text: str) -> bytes:
-        if self.special is None or not self.special.search(text):
+        if not any(s in text for s in self.specials):
             return self.plain(text)
         out, at = [], 0
         for m in self.special.finditer(text):

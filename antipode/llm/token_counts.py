@@ -125,7 +125,7 @@ class Counter:
         import regex
 
         self.transducer = Transducer(compiled)
-        self.special, self.chunk = bpe.special_splitter(compiled), chunk
+        self.special, self.specials, self.chunk = bpe.special_splitter(compiled), list(compiled["specials"]), chunk
         self.run = bpe.Pieces(bpe.splitter(compiled), self.transducer.count, sum)
         self.agree = regex.compile(r"(?<=\S)\s")
         self.agree_last = regex.compile(r"(?r)(?<=\S)\s")
@@ -171,7 +171,7 @@ class Counter:
         return self.scan([self.chunk_map(text[k : k + self.chunk]) for k in range(0, len(text), self.chunk)])
 
     def __call__(self, text: str) -> int:
-        if self.special is None or not self.special.search(text):
+        if not any(s in text for s in self.specials):
             return self.plain(text)
         n = at = 0
         for m in self.special.finditer(text):
