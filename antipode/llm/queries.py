@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, near_jaccard, packing, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, near_jaccard, packing, suffix_dedup, token_counts, toxicity
 from .common import table
 
 QUERIES = {}
@@ -82,6 +82,18 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+@query
+def op8_suffix_array_dedup(spark, sf_dir):
+    rows = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
