@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, near_jaccard, packing, suffix_dedup, token_counts, toxicity
+from . import chat, decontaminate, exact_dedup, licenses, near_jaccard, packing, quality, suffix_dedup, token_counts, toxicity
 from .common import table
 
 QUERIES = {}
@@ -17,6 +17,16 @@ def query(f):
     return f
 
 
+@query
+def op1_license_scan(spark, sf_dir):
+    return licenses.find_licenses(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
+@query
+def op2_importance_resampling(spark, sf_dir):
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_report(table(spark, sf_dir, "documents"))
