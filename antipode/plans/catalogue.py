@@ -109,6 +109,11 @@ def _antonym_ids(spark):
     return spark.range(100).select(F.least(F.col("id"), (F.col("id") * 7 + 13) % 600).alias("a"), F.greatest(F.col("id"), (F.col("id") * 7 + 13) % 600).alias("b"))
 
 
+def _flat(rows, *key):
+    """One row a component, so that results hold no arrays."""
+    return rows.select(*key, F.posexplode("vec").alias("i", "x")).withColumn("i", F.col("i").cast("bigint"))
+
+
 # --- tokens and vocabularies --------------------------------------------------------------------------
 
 
@@ -190,9 +195,10 @@ def digit_normalised_counts(spark, sf_dir):
     return vocabulary.word_counts(corpus.tokenise(_sentences(spark, sf_dir), *KEY, digits=True))
 
 
-@query(o.sql(o.VOCAB, "SELECT doc_id, line_no, pos, id FROM tokens LEFT JOIN vocab USING (word)"))
+@query(o.sql(o.VOCAB, "SELECT doc_id, line_no, pos, coalesce(id, -1) AS id FROM tokens LEFT JOIN vocab USING (word)"))
 def encode_tokens(spark, sf_dir):
-    return _encoded(spark, sf_dir, _vocab(spark, sf_dir))
+    """-1 for words out of the vocabulary."""
+    return _encoded(spark, sf_dir, _vocab(spark, sf_dir)).fillna({"id": -1})
 
 
 @query()
@@ -378,7 +384,8 @@ def _model_of_vocab(spark, sf_dir):
         f"spoken AS (SELECT conv_id, turn, line_no, unnest({o.split('line')}) AS word FROM talk)",
         "parts AS (SELECT conv_id, turn, line_no, unnest(range(64)) AS i, unnest(vec) AS x FROM spoken JOIN named USING (word))",
         "sums AS (SELECT conv_id, turn, line_no, list(s ORDER BY i) AS vec FROM (SELECT conv_id, turn, line_no, i, round(sum(x), 6) AS s FROM parts GROUP BY ALL) GROUP BY ALL)",
-        "SELECT conv_id, turn, line_no, coalesce(vec, list_transform(range(64), lambda i: 0.0::DOUBLE)) AS vec FROM talk LEFT JOIN sums USING (conv_id, turn, line_no)",
+        "filled AS (SELECT conv_id, turn, line_no, coalesce(vec, list_transform(range(64), lambda i: 0.0::DOUBLE)) AS vec FROM talk LEFT JOIN sums USING (conv_id, turn, line_no))",
+        f"SELECT conv_id, turn, line_no, {o.FLAT} FROM filled",
     )
 )
 def sentence_vectors(spark, sf_dir):
@@ -386,7 +393,7 @@ def sentence_vectors(spark, sf_dir):
     said = said.withColumn("line_no", F.col("line_no").cast("bigint"))
     key = ("conv_id", "turn", "line_no")
     rows = similarity.sentence_vectors(said, corpus.tokenise(said, *key), _model_of_vocab(spark, sf_dir), *key)
-    return rows.select(*key, F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return _flat(rows.withColumn("vec", F.transform("vec", lambda x: F.round(x, 6))), *key)
 
 
 @query(
@@ -394,12 +401,12 @@ def sentence_vectors(spark, sf_dir):
         o.MODEL,
         "parts AS (SELECT unnest(range(64)) AS i, unnest(vec) AS x FROM model)",
         "means AS (SELECT list(m ORDER BY i) AS vec FROM (SELECT i, round(avg(x), 6) AS m FROM parts GROUP BY i))",
-        "SELECT (SELECT round(avg(bias), 6) FROM model) AS bias, vec FROM means",
+        f"SELECT (SELECT round(avg(bias), 6) FROM model) AS bias, {o.FLAT} FROM means",
     )
 )
 def mean_vector(spark, sf_dir):
     rows = similarity.mean_word(_model(spark, sf_dir))
-    return rows.select(F.round("bias", 6).alias("bias"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return _flat(rows.select(F.round("bias", 6).alias("bias"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec")), "bias")
 
 
 def _step_updates(spark):
@@ -432,12 +439,14 @@ def model_cost(spark, sf_dir):
         "stepped AS (SELECT *, 0.03::DOUBLE * diff / sqrt(g1) AS s1, 0.03::DOUBLE * diff / sqrt(g2) AS s2 FROM grown)",
         """moved AS (SELECT w1 AS id, b1 AS bias, g1 AS grad, list_transform(list_zip(e1, e2), lambda p: p[1] + s1 * p[2]) AS vec FROM stepped
           UNION ALL SELECT w2, b2 + s2, g2, list_transform(list_zip(e2, e1), lambda p: p[1] + s2 * p[2]) FROM stepped)""",
-        "SELECT id, round(bias, 6) AS bias, round(grad, 6) AS grad, list_transform(vec, lambda x: round(x, 6)) AS vec FROM moved",
+        "told AS (SELECT id, round(bias, 6) AS bias, round(grad, 6) AS grad, list_transform(vec, lambda x: round(x, 6)) AS vec FROM moved)",
+        f"SELECT id, bias, grad, {o.FLAT} FROM told",
     )
 )
 def adagrad_step(spark, sf_dir):
     rows = training.adagrad_step(_step_updates(spark), _model(spark, sf_dir))
-    return rows.select("id", F.round("bias", 6).alias("bias"), F.round("grad", 6).alias("grad"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    rows = rows.select("id", F.round("bias", 6).alias("bias"), F.round("grad", 6).alias("grad"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+    return _flat(rows, "id", "bias", "grad")
 
 
 @query(o.sql(o.MODEL, o.QUESTIONS, "SELECT qid, pos, target, candidate, round(sim, 6) AS sim, in_dict FROM scores"))
@@ -471,7 +480,8 @@ def eval_metrics(spark, sf_dir):
     o.sql(
         "cut AS (SELECT vec_id AS line_no, 'w' || (vec_id % 400) AS word, list_transform(embedding[1:4], lambda x: round(x * 1000)::INT::DOUBLE) AS vec FROM embeddings)",
         "kept AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY word ORDER BY line_no) = 1)",
-        "SELECT row_number() OVER (ORDER BY line_no) - 1 AS id, word, 0.0::DOUBLE AS bias, 0.0::DOUBLE AS grad, vec FROM kept",
+        "numbered AS (SELECT row_number() OVER (ORDER BY line_no) - 1 AS id, word, vec FROM kept)",
+        f"SELECT id, word, {o.FLAT} FROM numbered",
     )
 )
 def vector_text_import(spark, sf_dir):
@@ -479,16 +489,16 @@ def vector_text_import(spark, sf_dir):
     lines = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("line_no"), F.concat_ws(" ", F.concat(F.lit("W"), F.col("vec_id") % 400), F.array_join(numbers, " ")).alias("line")
     )
-    return corpus.vector_lines(lines)
+    return _flat(corpus.vector_lines(lines), "id", "word")
 
 
-@query(o.sql(o.MODEL, "SELECT id, word, bias, grad, vec, 3 AS epochs FROM model"))
+@query(o.sql(o.MODEL, f"SELECT id, word, bias, grad, 3 AS epochs, {o.FLAT} FROM model"))
 def model_roundtrip(spark, sf_dir):
     path = f"{storage.shared_dir(spark)}/antipode/model-{uuid.uuid4().hex}"
     storage.remove_at_exit(spark, path)
     storage.save_model(_model(spark, sf_dir), path, 3)
     model, epochs = storage.load_model(spark, path)
-    return model.withColumn("epochs", F.lit(epochs))
+    return _flat(model.withColumn("epochs", F.lit(epochs)), "id", "word", "bias", "grad", "epochs")
 
 
 def _trainable(spark, sf_dir):

@@ -3,6 +3,10 @@
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: The components of a vector, one row each.
+FLAT = "unnest(range(len(vec)))::BIGINT AS i, unnest(vec) AS x"
+
+
 def split(column: str) -> str:
     return f"list_filter(regexp_split_to_array(translate({column}, '{UPPER}', '{LOWER}'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
 
