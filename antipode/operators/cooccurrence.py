@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import distance_weight
+from ..functions.text import distance_weight, lower_ascii, tokens
+from .vocabulary import encode
+
+#: The largest vocabulary that is sent to every task (about 50 MB).
+BROADCAST_WORDS = 1_000_000
 
 
 def _both_ways(pairs: DataFrame, *rest: str) -> DataFrame:
@@ -21,11 +25,26 @@ def window_pairs(encoded: DataFrame, window: int, *key: str) -> DataFrame:
     return rows.select("w1", F.explode("ahead").alias("x")).select("w1", "x.w2", "x.d").where("w2 IS NOT NULL")
 
 
-def cooccurrences(encoded: DataFrame, window: int, weight: int, *key: str, symmetric: bool = True) -> DataFrame:
+def line_pairs(lines: DataFrame, vocab: DataFrame, window: int) -> DataFrame:
+    """w1, w2, d like window_pairs, straight from lines: each word takes the words after it along, and both are looked
+    up in the broadcast vocabulary. Nothing is shuffled or sorted before the pairs are counted."""
+    words = lines.select(tokens(lower_ascii(F.col("line"))).alias("w"))
+    rows = words.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), F.slice(F.col("w"), i + 2, F.lit(window)).alias("next")))).alias("t"))
+    first = F.broadcast(vocab.select("word", F.col("id").alias("w1")))
+    other = F.broadcast(vocab.select(F.col("word").alias("word2"), F.col("id").alias("w2")))
+    pairs = rows.select("t.word", "t.next").join(first, "word").select("w1", F.posexplode("next").alias("d", "word2"))
+    return pairs.join(other, "word2").select("w1", "w2", (F.col("d") + 1).alias("d"))
+
+
+def _tokenised(lines: DataFrame, *key: str) -> DataFrame:
+    words = tokens(lower_ascii(F.col("line")))
+    return lines.select(*key, F.posexplode(words).alias("pos", "word"))
+
+
+def weighted_counts(pairs: DataFrame, window: int, weight: int, symmetric: bool = True) -> DataFrame:
     """w1, w2, count: sums of distance weights. Whole pairs are counted for each distance and weighted once,
     so sums don't depend on the order of addition. Symmetric: each pair counts both ways, and a word next
     to itself twice."""
-    pairs = window_pairs(encoded, window, *key)
     pairs = _both_ways(pairs, "d") if symmetric else pairs
     counted = pairs.groupBy("w1", "w2").agg(*(F.sum(F.when(F.col("d") == d, 1).otherwise(0)).alias(f"n_{d}") for d in range(1, window + 1)))
     total = F.lit(0.0)
@@ -34,6 +53,21 @@ def cooccurrences(encoded: DataFrame, window: int, weight: int, *key: str, symme
     return counted.select("w1", "w2", total.alias("count"))
 
 
+def cooccurrences(encoded: DataFrame, window: int, weight: int, *key: str, symmetric: bool = True) -> DataFrame:
+    """w1, w2, count of encoded tokens."""
+    return weighted_counts(window_pairs(encoded, window, *key), window, weight, symmetric)
+
+
+def line_cooccurrences(lines: DataFrame, vocab: DataFrame, window: int, weight: int, *key: str, symmetric: bool = True) -> DataFrame:
+    """w1, w2, count of lines (key, line): by line_pairs if the vocabulary is small enough to send to every task, by
+    encoded tokens otherwise."""
+    if vocab.count() <= BROADCAST_WORDS:
+        pairs = line_pairs(lines, vocab, window)
+    else:
+        pairs = window_pairs(encode(_tokenised(lines, *key), vocab, *key), window, *key)
+    return weighted_counts(pairs, window, weight, symmetric)
+
+
 def sentence_cooccurrences(encoded: DataFrame, *key: str, symmetric: bool = True) -> DataFrame:
     """w1, w2, count: every pair of a sentence, weight 1."""
     known = encoded.where("id IS NOT NULL")

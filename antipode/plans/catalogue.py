@@ -55,7 +55,7 @@ def _encoded(spark, sf_dir, vocab):
 
 
 def _cooc(spark, sf_dir, vocab, weight=1):
-    return cooccurrence.cooccurrences(_encoded(spark, sf_dir, vocab), WINDOW, weight, *KEY)
+    return cooccurrence.line_cooccurrences(_sentences(spark, sf_dir), vocab, WINDOW, weight, *KEY)
 
 
 def _training_inputs(spark, sf_dir):
@@ -233,6 +233,7 @@ def cooc_linear(spark, sf_dir):
 
 @query(o.sql(o.VOCAB, o.pairs(WINDOW, 1, symmetric=False), 'SELECT w1, w2, "count" FROM cooc'))
 def cooc_directed(spark, sf_dir):
+    """From encoded tokens, as beyond a broadcast vocabulary."""
     return cooccurrence.cooccurrences(_encoded(spark, sf_dir, _vocab(spark, sf_dir)), WINDOW, 1, *KEY, symmetric=False)
 
 

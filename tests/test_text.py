@@ -87,3 +87,13 @@ def test_rounding(spark):
         assert [r[0] for r in rows.select(sampling.rounded(F.col("x"), F.lit(draw))).collect()] == told
     draws = [r[0] for r in spark.range(20000).select(sampling.uniform(1, "t", F.col("id"))).collect()]
     assert abs(sum(d < 0.3 for d in draws) / len(draws) - 0.3) < 0.02
+
+
+def test_both_ways_to_pairs_agree(spark, monkeypatch):
+    vocab = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id bigint, word string")
+    lines = spark.createDataFrame([(0, "A x b a c c"), (1, ""), (2, "b"), (3, "c b a a x x x b")], "s int, line string")
+    found = []
+    for most in (10, 1):
+        monkeypatch.setattr(cooccurrence, "BROADCAST_WORDS", most)
+        found.append(sorted(map(tuple, cooccurrence.line_cooccurrences(lines, vocab, 3, 1, "s").collect())))
+    assert found[0] == found[1] and found[0]
