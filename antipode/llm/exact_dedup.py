@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from . import exchange
 from .common import row_id, stage, tasks, text_or_empty, written
 
-FINGERPRINT = F.shiftrightunsigned(F.xxhash64("_text"), 64 - exchange.BITS)
+
+def fingerprint(text):
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - exchange.BITS)
 
 
 def suspects(staged: DataFrame, owners: int) -> DataFrame:
@@ -51,7 +53,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(staged documents as doc, with _sha, _row and _suspect; one row per group of suspect copies: _sha, keep_id,
     _keep_row, group_size)."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), text_or_empty().alias("_text"))
-    staged = stage(rows.select("doc", FINGERPRINT.alias("_fp"), F.unhex(F.sha2("_text", 256)).alias("_sha")), "exact")
+    staged = stage(rows.select("doc", fingerprint("_text").alias("_fp"), F.unhex(F.sha2("_text", 256)).alias("_sha")), "exact")
     bitmaps = written(suspects(staged, tasks(docs.sparkSession)), "suspects").hint("shuffle_hash")
     marked = staged.join(bitmaps, "sender").select("doc", "_sha", row_id().alias("_row"), exchange.bit(F.col("bitmap"), F.col("docno")).alias("_suspect"))
     found = marked.where("_suspect").select("_sha", "_row", "doc.doc_id", text_or_empty("doc.text").alias("_text")).groupBy("_text").agg(
