@@ -10,6 +10,7 @@ from ..functions import sampling, vectors
 from ..functions import text as text_functions
 from ..operators import cooccurrence, evaluation, heavy_hitters, similarity, thesaurus, training, updates, vocabulary
 from ..sources import corpus, storage
+from ..sources.parallel import spread
 from ..streaming import word_counts as streaming
 from . import oracle as o
 
@@ -38,7 +39,7 @@ def table(spark, sf_dir, name):
 
 
 def _sentences(spark, sf_dir):
-    return corpus.sentences(table(spark, sf_dir, "documents"))
+    return corpus.sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _tokens(spark, sf_dir):
