@@ -99,8 +99,9 @@ def _local(held, seed: int, epoch: int, rows=SymmetricWords):
     return run
 
 
-def train_epoch(model: DataFrame, updates: DataFrame, tasks: int, seed: int = 0, epoch: int = 0) -> tuple[DataFrame, float, int]:
-    """(the model after one epoch, cost, changes). Words without updates stay as they are."""
+def train_epoch(model: DataFrame, updates: DataFrame, tasks: int, seed: int = 0, epoch: int = 0, rows_of=SymmetricWords) -> tuple[DataFrame, float, int]:
+    """(the model after one epoch, cost, changes). Words without updates stay as they are. rows_of makes a task's
+    trainable rows of (vec, bias, grad)."""
     spark = model.sparkSession
     rows, dim = model.count(), len(model.select("vec").first()[0])
     if rows * (dim + 2) * 8 > MODEL_BYTES:
@@ -110,7 +111,7 @@ def train_epoch(model: DataFrame, updates: DataFrame, tasks: int, seed: int = 0,
     held = spark.sparkContext.broadcast((table["id"].to_numpy(), vec, table["bias"].to_numpy(), table["grad"].to_numpy()))
     # By a hash of the pair, not round robin: the same rows meet in a task on every retry.
     dealt = updates.select("w1", "w2", "pos", "neg", "origin").repartition(tasks, "w1", "w2")
-    parts = written(dealt.mapInPandas(_local(held, seed, epoch), "id bigint, n bigint, bias double, grad double, vec array<double>"), "epoch")
+    parts = written(dealt.mapInPandas(_local(held, seed, epoch, rows_of), "id bigint, n bigint, bias double, grad double, vec array<double>"), "epoch")
     said = parts.where("id = -1").agg(F.sum("bias"), F.sum("n")).first()
     moved = parts.where("id >= 0").groupBy("id").agg(F.sum("n").alias("n"), (F.sum("bias") / F.sum("n")).alias("b"), F.sum("grad").alias("g"), sum_vectors("vec", dim).alias("v"))
     moved = moved.select("id", "b", "g", F.transform("v", lambda x: x / F.col("n")).alias("v"))
@@ -122,11 +123,11 @@ def train_epoch(model: DataFrame, updates: DataFrame, tasks: int, seed: int = 0,
     return held_after, float(said[0] or 0.0), int(said[1] or 0)
 
 
-def train(model: DataFrame, updates: DataFrame, epochs: int, tasks: int, seed: int = 0, done: int = 0) -> tuple[DataFrame, list[float]]:
+def train(model: DataFrame, updates: DataFrame, epochs: int, tasks: int, seed: int = 0, done: int = 0, rows_of=SymmetricWords) -> tuple[DataFrame, list[float]]:
     """(model, cost of each epoch). To resume, give the model and how many epochs it has had."""
     costs = []
     for epoch in range(done, done + epochs):
-        model, cost, _ = train_epoch(model, updates, tasks, seed, epoch)
+        model, cost, _ = train_epoch(model, updates, tasks, seed, epoch, rows_of)
         costs.append(cost)
     return model, costs
 
