@@ -21,6 +21,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,28 +92,35 @@ class Model:
         return self.bias + sum(map(self.weights.__getitem__, sorted(hits)))
 
     def score(self, text: str) -> float:
+        if self.bias == -np.inf:
+            return 0.0
         return float(1 / (1 + np.exp(-min(max(self.logit(text), -500.0), 500.0))))
 
 
-def optimise(rows: list[np.ndarray], labels: np.ndarray, swaps: list, l1: float = 5.0, fairness: float = 1.0, rounds: int = 80) -> Model:
-    """Proximal AdaGrad on the full sample; deterministic."""
-    n = len(rows)
+def optimise(values: np.ndarray, at: np.ndarray, labels: np.ndarray, swaps: list, l1: float = 5.0, fairness: float = 1.0, rounds: int = 80) -> Model:
+    """Proximal AdaGrad on the full sample; deterministic. values holds the rows' features one after the other, at where
+    each row begins and the last ends. Rows are taken in blocks, so temporaries stay small."""
+    n = len(at) - 1
     if n == 0:
         return Model({}, -np.inf)
     y = labels.astype(float)
     if y.min() == y.max():
         return Model({}, float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))))
-    index = np.concatenate(rows).astype(np.int64)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
     pairs = [(np.array(more + less, np.int64), np.r_[np.ones(len(more)), -np.ones(len(less))]) for more, less in swaps if more or less]
     swap_index = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
     swap_sign = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0)
     swap_row = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
+    blocks = [(a, min(n, a + 1024)) for a in range(0, n, 1024)]
     w, bias, seen, seen_bias = np.zeros(BUCKETS), float(np.log(y.mean() / (1 - y.mean()))), np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(rounds):
-        z = bias + np.bincount(row, w[index], n)
-        miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        grad = np.bincount(index, miss[row], BUCKETS)
+        grad, missed = np.zeros(BUCKETS), 0.0
+        for a, b in blocks:
+            index = values[at[a] : at[b]]
+            row = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(at[a : b + 1]))
+            z = bias + np.bincount(row, w[index], b - a)
+            miss = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[a:b]
+            grad += np.bincount(index, miss[row], BUCKETS)
+            missed += miss.sum()
         if pairs:
             change = np.bincount(swap_row, w[swap_index] * swap_sign, len(pairs))
             grad += 2 * fairness * np.bincount(swap_index, change[swap_row] * swap_sign, BUCKETS)
@@ -120,13 +128,13 @@ def optimise(rows: list[np.ndarray], labels: np.ndarray, swaps: list, l1: float
         rate = 0.5 / np.sqrt(seen)
         w -= rate * grad
         w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
-        seen_bias += miss.sum() ** 2
-        bias -= 0.5 * miss.sum() / np.sqrt(seen_bias)
+        seen_bias += missed**2
+        bias -= 0.5 * missed / np.sqrt(seen_bias)
     kept = np.flatnonzero(w)
     return Model(dict(zip(kept.tolist(), w[kept].tolist(), strict=True)), float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, l1: float = 5.0, fairness: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, l1: float = 5.0, fairness: float = 1.0) -> Model:
     """Learns from at most sample_rows labelled rows outside the held-out quarter."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -147,16 +155,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, l1: float
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     found = rows.mapInArrow(describe, "doc_id long, toxic int, features array<int>, more array<array<int>>, less array<array<int>>").toArrow()
-    found = found.sort_by("doc_id").combine_chunks()
-    columns = {c: found.column(c).combine_chunks() for c in found.column_names}
-    values, at = columns["features"].flatten().to_numpy(), columns["features"].offsets.to_numpy()
-    rows = [values[a:b] for a, b in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)] if len(found) else []
-    swaps = [s for more, less in zip(columns["more"].to_pylist(), columns["less"].to_pylist(), strict=True) for s in zip(more, less, strict=True)]
-    return optimise(rows, columns["toxic"].to_numpy(zero_copy_only=False), swaps, l1, fairness)
-
-
-def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out boolean, score double, predicted int, and the columns of docs named in keep."""
+    if not len(found):
+        return optimise(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), [])
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    parts = [chunk[k].values.to_numpy() for chunk in found["features"].chunks for k in range(len(chunk))]
+    parts = [parts[k] for k in order]
+    at, values, toxic = np.concatenate([[0], np.cumsum([len(p) for p in parts])]), np.concatenate(parts), found["toxic"].to_numpy()[order]
+    swaps = [s for more, less in zip(found["more"].to_pylist(), found["less"].to_pylist(), strict=True) for s in zip(more, less, strict=True)]
+    del found, parts
+    pyarrow.default_memory_pool().release_unused()
+    return optimise(values, at, toxic, sorted(swaps), l1, fairness)
+
+
+def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out boolean, score double, predicted int"""
     weights, bias = model.weights, model.bias
 
     def scored(batches):
@@ -164,16 +176,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str
 
         own = Model(weights, bias)
         for batch in batches:
-            s = [own.score(t) for t in batch.column("_text").to_pylist()]
-            rest = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in rest), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], [*rest, "score", "predicted"]
-            )
-
-    columns = ["doc_id", *(c for c in keep if c != "doc_id")]
-    rows = docs.select(*columns, held_out(F.col("doc_id")).alias("held_out"), text_or_empty().alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(scored, f"{kinds}, score double, predicted int").select("doc_id", "held_out", "score", "predicted", *columns[1:])
+            s = [own.score(t) for t in batch.column("text").to_pylist()]
+            told = [pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *told], ["doc_id", "held_out", "score", "predicted"])
+
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text_or_empty().alias("text"))
+    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
