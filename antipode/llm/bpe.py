@@ -6,6 +6,7 @@ receive; the vocabulary file itself is never copied into the repository.
 
 from __future__ import annotations
 
+import functools
 import json
 
 LETTER, NUMBER = r"\p{L}", r"\p{N}"
@@ -13,8 +14,10 @@ LETTER, NUMBER = r"\p{L}", r"\p{N}"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 
 
+@functools.lru_cache(maxsize=4)
 def compile_tokenizer(path: str) -> dict:
-    """The file's text, its special strings, and the split pattern with the library's own Unicode classes.
+    """The file's text, its special strings, and the split pattern with the library's own Unicode classes. Callers
+    share the result and don't change it.
 
     The library and the ``regex`` module know different Unicode versions; code points that they class
     differently are found by two probe strings over all assigned planes and taken out of the pattern."""
@@ -29,14 +32,14 @@ def compile_tokenizer(path: str) -> dict:
         raise ValueError("only byte-level BPE files without a normaliser are supported")
     split = Tokenizer.from_str(text).pre_tokenizer
     points = [cp for cp in (*range(0x80, 0xD800), *range(0xF900, 0x34000), 0xE0001, *range(0xE0020, 0xE01F0)) if not chr(cp).isspace()]
-    joined = {}
-    for probe in "a1":  # "ax" stays one piece if x is a letter, "1x" if x is a number
-        pieces = split.pre_tokenize_str(" ".join(probe + chr(cp) for cp in points))
-        starts = {a for _, (a, b) in pieces if b - a == 3 or (a == 0 and b == 2)}
-        joined[probe] = {cp for k, cp in enumerate(points) if (0 if k == 0 else 3 * k - 1) in starts}
-    known = {"a": set(), "1": set()}
-    for probe, kind in (("a", LETTER), ("1", NUMBER)):
-        known[probe] = {ord(c) for c in regex.findall(kind, "".join(map(chr, points)))}
+    joined, known = {"a": set(), "1": set()}, {"a": set(), "1": set()}
+    for probe, kind in (("a", LETTER), ("1", NUMBER)):  # "ax" stays one piece if x is a letter, "1x" if x is a number
+        for a in range(0, len(points), 4096):
+            part = points[a : a + 4096]
+            pieces = split.pre_tokenize_str(" ".join(probe + chr(cp) for cp in part))
+            starts = {a for _, (a, b) in pieces if b - a == 3 or (a == 0 and b == 2)}
+            joined[probe].update(cp for k, cp in enumerate(part) if (0 if k == 0 else 3 * k - 1) in starts)
+        known[probe].update(ord(c) for c in regex.findall(kind, "".join(map(chr, points))))
     odd = {p: (sorted(known[p] - joined[p]), sorted(joined[p] - known[p])) for p in known}
     return {
         "json": text,
