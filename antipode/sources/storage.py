@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import json
 import struct
 import tempfile
@@ -32,14 +31,9 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove():
-        try:
-            fs, where = _filesystem(spark, path)
-            fs.delete(where, True)
-        except Exception:  # noqa: BLE001  the session is gone; the folder's owner cleans up
-            pass
-
-    atexit.register(remove)
+    """The folder goes when the driver's JVM ends."""
+    fs, where = _filesystem(spark, path)
+    fs.deleteOnExit(where)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
