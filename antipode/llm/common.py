@@ -7,7 +7,6 @@ no copy of this package.
 
 from __future__ import annotations
 
-import atexit
 import sys
 import tempfile
 import types
@@ -45,15 +44,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    def remove():
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session is gone; the folder's owner cleans up
-            pass
-
-    atexit.register(remove)
+    """The folder goes when the driver's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def cache(name: str, make):
@@ -64,6 +57,23 @@ def cache(name: str, make):
     return getattr(held, name)
 
 
+def trimmed(result):
+    """result, after the worker process has given memory that it no longer uses back to the system: workers
+    outlive their tasks, and a task's arrays would stay counted against the executor."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+    return result
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -86,12 +96,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     ).drop("_rid")
     name = f"antipode_{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/antipode/{name}"
-    buckets = max(df.rdd.getNumPartitions(), tasks(spark))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = min(most, max(df.rdd.getNumPartitions(), tasks(spark)))
     df.write.bucketBy(buckets, "sender").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
     _remove_at_exit(spark, path)
     return spark.table(name)
 
 
+#: Bytes of a staged table on disk for which one owner answers.
+BYTES_AN_OWNER = 16 << 20
+
+
+def owners_of(staged: DataFrame) -> int:
+    """How many hash ranges a staged table's fingerprints are dealt into: twice as many as there are shuffle
+    partitions, and more for a table so large that a range would outgrow a task."""
+    size = int(str(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * tasks(staged.sparkSession), -(-size // BYTES_AN_OWNER))
+
+
 def row_id():
     """A staged row's number, unique in the table."""
     return F.shiftleft(F.col("sender").cast("long"), 33).bitwiseOR(F.col("docno"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import row_id, stage, tasks, text_or_empty, written
+from .common import owners_of, row_id, stage, text_or_empty, written
 
 
 def fingerprint(text):
@@ -31,8 +31,7 @@ def suspects(staged: DataFrame, owners: int) -> DataFrame:
     """sender, bitmap: per sender, a bit per row that is set if another row has the row's fingerprint."""
 
     def send(key, table):
-        fp, counts = np.unique(table["_fp"].to_numpy().astype(np.uint64), return_counts=True)
-        return exchange.message_table(exchange.message_rows(key[0].as_py(), fp, counts, owners))
+        return exchange.message_table(exchange.message_rows(key[0].as_py(), table["_fp"].to_numpy().astype(np.uint64), owners))
 
     def mark(key, table, answers):
         import pyarrow as pa
@@ -54,7 +53,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     _keep_row, group_size)."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), text_or_empty().alias("_text"))
     staged = stage(rows.select("doc", fingerprint("_text").alias("_fp"), F.unhex(F.sha2("_text", 256)).alias("_sha")), "exact")
-    bitmaps = written(suspects(staged, tasks(docs.sparkSession)), "suspects").hint("shuffle_hash")
+    bitmaps = written(suspects(staged, owners_of(staged)), "suspects").hint("shuffle_hash")
     marked = staged.join(bitmaps, "sender").select("doc", "_sha", row_id().alias("_row"), exchange.bit(F.col("bitmap"), F.col("docno")).alias("_suspect"))
     found = marked.where("_suspect").select("_sha", "_row", "doc.doc_id", text_or_empty("doc.text").alias("_text")).groupBy("_text").agg(
         F.max("doc_id").alias("keep_id"),

@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 BITS = 48
 MESSAGE = "sender int, owner int, n int, k int, first long, quotients binary, remainders binary, counts binary"
 REPLY = "sender int, owner int, values binary"
@@ -47,14 +49,19 @@ def owner_bounds(owners: int) -> np.ndarray:
     return np.array([(o << BITS) // owners for o in range(owners)], np.uint64)
 
 
-def message_rows(sender: int, fingerprints: np.ndarray, counts: np.ndarray, owners: int) -> list[tuple]:
-    """A sender's messages: sorted distinct fingerprints with the number of its rows (255 at most) that hold each."""
+def message_rows(sender: int, fingerprints: np.ndarray, owners: int) -> list[tuple]:
+    """A sender's messages: its distinct fingerprints with the number of its rows (255 at most) that hold each. Sorts
+    fingerprints in place and goes owner by owner, to spare memory."""
+    fingerprints.sort()
     cuts = [*np.searchsorted(fingerprints, owner_bounds(owners)).tolist(), len(fingerprints)]
     out = []
     for owner, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a < b:
-            k, first, q, r = golomb_encode(fingerprints[a:b])
-            out.append((sender, owner, b - a, k, first, q, r, zlib.compress(np.minimum(counts[a:b], 255).astype(np.uint8).tobytes(), 1)))
+            own = fingerprints[a:b]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            counts = np.minimum(np.diff(np.append(first, b - a)), 255).astype(np.uint8)
+            k, base, q, r = golomb_encode(own[first])
+            out.append((sender, owner, len(first), k, base, q, r, zlib.compress(counts.tobytes(), 1)))
     return out
 
 
@@ -75,14 +82,19 @@ def answer(messages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         m = table.to_pydict()
-        lists = [golomb_decode(*x) for x in zip(m["n"], m["k"], m["first"], m["quotients"], m["remainders"], strict=True)]
-        counts = [np.frombuffer(zlib.decompress(c), np.uint8) for c in m["counts"]]
-        _, where = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(where, np.concatenate(counts).astype(np.float64))
-        level = np.minimum(np.log2(total), 254).astype(np.uint8)[where]
+        # Sorted, equal fingerprints stand together, and their counts are summed.
+        told = np.concatenate([golomb_decode(*x) for x in zip(m["n"], m["k"], m["first"], m["quotients"], m["remainders"], strict=True)])
+        counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint8) for c in m["counts"]])
+        order = np.argsort(told, kind="stable")
+        told = told[order]
+        first = np.flatnonzero(np.concatenate([[True], told[1:] != told[:-1]]))
+        del told
+        total = np.minimum(np.log2(np.add.reduceat(counts[order], first, dtype=np.int64)), 254).astype(np.uint8)
+        level = np.empty(len(order), np.uint8)
+        level[order] = np.repeat(total, np.diff(np.append(first, len(order))))
         cuts = np.cumsum([0, *m["n"]])
         values = [zlib.compress(level[a:b].tobytes(), 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table([table["sender"], table["owner"], pa.array(values, pa.binary())], ["sender", "owner", "values"])
+        return trimmed(pa.table([table["sender"], table["owner"], pa.array(values, pa.binary())], ["sender", "owner", "values"]))
 
     return messages.groupBy("owner").applyInArrow(owned, REPLY)
 
@@ -93,6 +105,19 @@ def read_answers(owners_values: list[tuple[int, bytes]]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
 
 
+def levels_of(hashes: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """The answer for each 64-bit hash, from the answers for the sorted distinct fingerprints. Goes by sixteenths of the
+    hash range, so that temporaries stay small."""
+    out, done = np.zeros(len(hashes), np.uint8), 0
+    part_of = (hashes >> np.uint64(60)).astype(np.uint8)
+    for part in range(16):
+        at = np.flatnonzero(part_of == part)
+        found, where = np.unique(hashes[at] >> np.uint64(64 - BITS), return_inverse=True)
+        out[at] = answers[done : done + len(found)][where]
+        done += len(found)
+    return out
+
+
 def bit(bitmap, position):
     """Is the bit at an int position of a binary column set? (numpy's packbits order)"""
     byte = F.conv(F.hex(F.substr(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import row_id, stage, tasks, text_or_empty, written
+from .common import owners_of, row_id, stage, tasks, text_or_empty, trimmed, written
 from .shingles import shingle_set
 
 #: Members of one comparing group, and members of one block of a posting list.
@@ -49,48 +49,52 @@ def overlap_needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _docs_of(table, wanted) -> list[tuple[int, str]]:
+def _docs_of(table, wanted):
+    """(docno, text) of the wanted documents, one text at a time."""
     keep = set(wanted)
-    return [(d, t) for d, t in zip(table["docno"].to_pylist(), table["text"].to_pylist(), strict=True) if d in keep]
+    for docno, text in zip(table["docno"].to_pylist(), table["text"], strict=True):
+        if docno in keep:
+            yield docno, text.as_py()
 
 
 def representative_sets(staged: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """rep long, n int, shared array<long> (ordered; null if the set can't be linked): one row per class."""
-    spark = staged.sparkSession
-    owners = tasks(spark)
+    owners = owners_of(staged)
     reps = classes.select(F.shiftright("rep", 33).cast("int").alias("sender"), F.col("rep").bitwiseAND(F.lit((1 << 33) - 1)).cast("int").alias("docno"))
     control = reps.groupBy("sender").agg(F.collect_list("docno").alias("docnos"))
     control = written(control.select("sender", F.lit(-1).alias("owner"), "docnos", F.lit(None).cast("binary").alias("values")), "control")
     texts = staged.select("sender", "docno", text_or_empty("doc.text").alias("text"))
-    drop = np.uint64(64 - exchange.BITS)
 
-    def prints(table, control):
+    def hashes(table, control):
+        """(docnos, where each one's hashes begin and the last one's end, the hashes one after the other)"""
         wanted = next((d for d in control["docnos"].to_pylist() if d is not None), [])
-        docs = [(docno, shingle_set(text, words)) for docno, text in _docs_of(table, wanted)]
-        flat = np.concatenate([s for _, s in docs]) if docs else np.zeros(0, np.uint64)
-        return docs, flat
+        docnos, sets = [], []
+        for docno, text in _docs_of(table, wanted):
+            docnos.append(docno)
+            sets.append(shingle_set(text, words))
+        at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+        return docnos, at.tolist(), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
 
     def send(key, table, control):
-        _, flat = prints(table, control)
-        found, counts = np.unique(flat >> drop, return_counts=True)
-        rows = exchange.message_rows(key[0].as_py(), found, counts, owners) if len(found) else []
-        return exchange.message_table(rows)
+        flat = hashes(table, control)[2]
+        flat >>= np.uint64(64 - exchange.BITS)
+        return trimmed(exchange.message_table(exchange.message_rows(key[0].as_py(), flat, owners)))
 
     def order(key, table, control):
         import pyarrow as pa
 
-        docs, flat = prints(table, control)
-        found = np.unique(flat >> drop)
-        level = exchange.read_answers([(o, v) for o, v in zip(control["owner"].to_pylist(), control["values"].to_pylist(), strict=True) if o >= 0])
+        docnos, at, flat = hashes(table, control)
+        answers = exchange.read_answers([(o, v) for o, v in zip(control["owner"].to_pylist(), control["values"].to_pylist(), strict=True) if o >= 0])
+        level = exchange.levels_of(flat, answers)
         rep, n, shared = [], [], []
-        for docno, hashes in docs:
-            levels = level[np.searchsorted(found, hashes >> drop)] if len(hashes) else level[:0]
-            # The global order: by level, then hash, in one number below 2^63.
-            ranks = np.sort(((np.minimum(levels[levels > 0], 15).astype(np.uint64) << np.uint64(59)) | (hashes[levels > 0] >> np.uint64(5))).astype(np.int64))
+        for docno, a, b in zip(docnos, at[:-1], at[1:], strict=True):
+            own = np.flatnonzero(level[a:b]) + a
             rep.append(key[0].as_py() << 33 | docno)
-            n.append(len(hashes))
-            shared.append(ranks if len(hashes) and len(ranks) >= need(len(hashes), percent) else None)
-        return pa.table([pa.array(rep, pa.int64()), pa.array(n, pa.int32()), pa.array(shared, pa.list_(pa.int64()))], ["rep", "n", "shared"])
+            n.append(b - a)
+            # The global order: by level, then hash, in one number below 2^63.
+            ranks = np.minimum(level[own], 15).astype(np.uint64) << np.uint64(59) | flat[own] >> np.uint64(5)
+            shared.append(np.sort(ranks.astype(np.int64)) if len(own) and len(own) >= need(b - a, percent) else None)
+        return trimmed(pa.table([pa.array(rep, pa.int64()), pa.array(n, pa.int32()), pa.array(shared, pa.list_(pa.int64()))], ["rep", "n", "shared"]))
 
     left = texts.groupBy("sender")
     answers = exchange.answer(left.cogroup(control.groupBy("sender")).applyInArrow(send, exchange.MESSAGE))
@@ -180,8 +184,6 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of edges (a, b), by star contraction in joins."""
-    spark = edges.sparkSession
-
     def both(e):
         return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -203,7 +205,6 @@ def components(edges: DataFrame) -> DataFrame:
     while (now := mark(edges)) != seen and now[0]:
         seen = now
         edges = written(star(star(edges, small=False), small=True), "edges")
-    del spark
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -258,7 +259,6 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame,
     """(staged documents as doc, with _class binary; one row per class: _class, n long, component long,
     component_id). component is the number of the component's first representative, component_id the
     smallest doc_id; both null for empty sets, which are linked with nothing."""
-    spark = docs.sparkSession
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     staged = stage(rows.withColumn("_class", F.unhex(F.sha2(text_or_empty("doc.text"), 256))), "jaccard")
     classes = staged.select("_class", row_id().alias("_row"), F.col("doc.doc_id").alias("doc_id"))
@@ -280,7 +280,6 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame,
     named = named.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "rep")))
     names = named.where("n > 0").groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(names, "component", "left").select("_class", "n", "component", "component_id")
-    del spark
     return staged, named
 
 
