@@ -11,10 +11,12 @@ into short ones without losing a string:
    bytes before it (strings that have those) or after it (the others, which have those).
 2. Keys go through the compressed ``exchange``; only short documents whose key occurs in another document
    go on. Equal short documents are one from then on, with the smallest doc_id.
-3. Short documents are dealt by key. In each task, collections of bounded size are built column by column:
-   round r inserts the suffix of length r of each document into the collection's transform (positions by
-   rank in the transform built so far) and updates the common prefixes around it by range minima. Runs of
-   common prefixes of at least ``length`` are the groups of equal strings; a group's smallest doc_id decides.
+3. Senders send their short documents, equal ones once, to the owners of key ranges. There, those that share a
+   key but aren't equal are taken together in collections of bounded size, built column by column: round r
+   inserts the suffix of length r of each document into the collection's transform (positions by rank in
+   the transform built so far) and updates the common prefixes around it by range minima. Runs of common
+   prefixes of at least ``length`` are the groups of equal strings; a group's smallest doc_id decides. A
+   short document alone with its key is a collection of one, whose strings are all its own.
 4. What is decided goes back to the senders' staged texts, which never moved, and the bytes are cut there.
 
 Texts that are equal to one of a smaller doc_id are removed as a whole before (if they have ``length``
@@ -28,18 +30,20 @@ remove from each other. Empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .common import stage, tasks, text_or_empty, written
+from .common import owners_of, stage, text_or_empty, trimmed, written
 from .shingles import span_hashes, window_hashes
 
 LENGTH = 50
 GRAM = 24
 #: log2 of the documents from which on a key is dealt string by string.
-HOT = 11
+HOT = 13
 #: Short documents of one collection.
 COLLECTION = 1 << 14
 _PART = 1 << 23
@@ -80,7 +84,7 @@ def short_documents(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tupl
     grams = [anchor[left] - side, anchor[right]]
     keys = [span_hashes(data, g, g + gram + side) for g in grams]
     keys[1] = keys[1] ^ np.uint64(0x5851F42D4C957F2D)
-    return np.concatenate(keys), np.concatenate([first[left], start_right[right]]), np.concatenate([split[left], last[right]])
+    return np.concatenate(keys), *(np.concatenate(x).astype(np.int32) for x in ([first[left], start_right[right]], [split[left], last[right]]))
 
 
 def collection_groups(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,122 +164,227 @@ def smallest_owner(texts: list[bytes], owner: np.ndarray, length: int) -> list[n
     return [flat[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def _decide(length: int):
-    def decide(batches):
-        import pyarrow as pa
-
-        def built(rows):
-            texts = [r[2] for r in rows]
-            best = smallest_owner(texts, np.array([r[3] for r in rows], np.int64), length)
-            told = [(r[0], r[1], b) for r, b in zip(rows, best, strict=True) if b.min() < r[4]]
-            columns = list(zip(*told, strict=True)) or [[]] * 3
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "name", "best"])
-
-        held, key = [], None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= COLLECTION and row[0] != key:
-                    yield built(held)
-                    held = []
-                held.append(row)
-                key = row[0]
-        if held:
-            yield built(held)
-
-    return decide
+# --- what senders and owners tell each other -----------------------------------------------------------
+
+PARTS = "sender int, owner int, keys binary, names binary, sizes binary, least binary, text binary, places binary"
+DECIDED = "sender int, owner int, least binary, several binary, best binary"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
+def _texts(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+    return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def part_messages(sender: int, documents: list, flat: np.ndarray, level: np.ndarray, owners: int, length: int) -> list[tuple]:
+    """A sender's shared short documents, equal ones once, sorted by key and cut by owner; and, as a message to
+    itself (owner -1), where each stands. documents: (docno, owner id, bytes, first, last), which the list gives up one
+    by one; flat and level have their keys and the keys' levels one after the other."""
+    keys, names, parts, docnos, starts, owns = [], [], [], [], [], []
+    at = 0
+    for n, (docno, own, data, first, last) in enumerate(documents):
+        documents[n] = None
+        key, levels = flat[at : at + len(first)], level[at : at + len(first)]
+        at += len(first)
+        cold, hot = np.flatnonzero((levels > 0) & (levels < HOT)), np.flatnonzero(levels >= HOT)
+        key, a, b = key[cold], first[cold], last[cold]
+        if len(hot):
+            each = np.concatenate([np.arange(first[k], last[k] + 1) for k in hot])
+            key = np.concatenate([key, span_hashes(data, each, each + length) ^ np.uint64(0x2545F4914F6CDD1D)])
+            a, b = np.concatenate([a, each]), np.concatenate([b, each])
+        if not len(key):
+            continue
+        keys.append(key)
+        names.append(span_hashes(data, a, b + length))
+        parts += [data[x:y] for x, y in zip(a.tolist(), (b + length).tolist(), strict=True)]
+        docnos.append(np.full(len(key), docno, np.int32))
+        starts.append(a)
+        owns.append(np.full(len(key), own, np.int64))
+    if not keys:
+        return []
+    key, name, own = np.concatenate(keys), np.concatenate(names), np.concatenate(owns)
+    order = np.lexsort((name, key))
+    fresh = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (key[order][1:] != key[order][:-1])])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    once = order[fresh]
+    least = np.full(len(once), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, own)
+    key, name = key[once], name[once]
+    chosen = [parts[k] for k in once.tolist()]
+    sizes = np.fromiter(map(len, chosen), np.int32, len(chosen))
+    bounds = np.array([(o << 64) // owners for o in range(owners)], np.uint64)
+    cuts = [*np.searchsorted(key, bounds).tolist(), len(key)]
+    out = []
+    for owner, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            out.append((sender, owner, _packed(key[a:b]), _packed(name[a:b]), _packed(sizes[a:b]), _packed(least[a:b]), zlib.compress(b"".join(chosen[a:b]), 1), None))
+    places = [np.concatenate(docnos).astype(np.int32), np.concatenate(starts).astype(np.int32), number.astype(np.int32), sizes[number]]
+    out.append((sender, -1, None, None, None, None, None, _packed(np.stack(places))))
+    return out
+
+
+def decide(messages: list[tuple], length: int) -> list[tuple[bytes, bytes, bytes]]:
+    """For each message (keys, names, sizes, least, text): the smallest owner of each short document, the numbers of
+    those whose strings differ in owner, and these strings' owners one after the other."""
+    keys, names, sizes, least = (np.concatenate([_unpacked(m[k], t) for m in messages]) for k, t in enumerate((np.uint64, np.uint64, np.int32, np.int64)))
+    texts = [t for m in messages for t in _texts(zlib.decompress(m[4]), _unpacked(m[2], np.int32))]
+    order = np.lexsort((names, keys))
+    same_key = np.concatenate([[False], keys[order][1:] == keys[order][:-1]])
+    same = same_key & np.concatenate([[False], names[order][1:] == names[order][:-1]])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(~same) - 1  # distinct short documents, by key
+    once = order[~same]
+    smallest = np.full(len(once), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, number, least)
+    # Alone with its key, a short document's strings are all its own; the others are built, whole keys together.
+    joins = same_key[~same]
+    together = joins | np.append(joins[1:], False)
+    at = np.flatnonzero(together)
+    opens = np.flatnonzero(~joins[at])
+    several: dict[int, np.ndarray] = {}
+    a = 0
+    while a < len(at):
+        later = opens[opens >= a + COLLECTION]
+        b = int(later[0]) if len(later) else len(at)
+        group = at[a:b]
+        for k, best in zip(group.tolist(), smallest_owner([texts[i] for i in once[group].tolist()], smallest[group], length), strict=True):
+            if best.min() < smallest[k]:
+                several[k] = best
+        a = b
+    out, start = [], 0
+    for m in messages:
+        n = len(_unpacked(m[0], np.uint64))
+        own = number[start : start + n]
+        start += n
+        differ = [k for k, x in enumerate(own.tolist()) if x in several]
+        best = [several[own[k]] for k in differ]
+        out.append((_packed(smallest[own]), _packed(np.array(differ, np.int32)), _packed(np.concatenate(best) if best else np.zeros(0, np.int64))))
+    return out
+
+
+def covered(documents: list[tuple], places: np.ndarray, decided: list[tuple], length: int) -> dict[int, np.ndarray]:
+    """By docno: a boolean for each byte, true if it goes. documents: (docno, owner id, bytes)."""
+    docno, start, number, size = places
+    parts = [(_unpacked(a, np.int64), _unpacked(b, np.int32), _unpacked(c, np.int64)) for _, a, b, c in sorted(decided, key=lambda d: d[0])]
+    least = np.concatenate([p[0] for p in parts])
+    base = np.cumsum([0, *(len(p[0]) for p in parts)])
+    differ = np.concatenate([p[1] + b for p, b in zip(parts, base[:-1], strict=True)]).astype(np.int64)
+    best = np.concatenate([p[2] for p in parts])
+    sizes = np.zeros(len(least), np.int64)
+    sizes[number] = size
+    first = np.zeros(len(least), np.int64)
+    strings = sizes[differ] - length + 1
+    first[differ] = np.cumsum(strings) - strings
+    mixed = np.zeros(len(least), bool)
+    mixed[differ] = True
+
+    place = {d: k for k, (d, _, _) in enumerate(documents)}
+    lengths = np.array([len(t) + 1 for _, _, t in documents], np.int64)
+    begin = np.cumsum(lengths) - lengths
+    own = np.array([o for _, o, _ in documents], np.int64)
+    doc = np.array([place[d] for d in docno.tolist()], np.int64)
+    # A byte lies in at most length strings and as many short documents, so 16 bits do.
+    edge = np.zeros(int(lengths.sum()) + 1, np.int16)
+    whole = np.flatnonzero(~mixed[number] & (least[number] < own[doc]))
+    at = begin[doc[whole]] + start[whole]
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + size[whole], -1)
+    some = np.flatnonzero(mixed[number])
+    many = sizes[number[some]] - length + 1
+    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    hit = best[np.repeat(first[number[some]], many) + inner] < np.repeat(own[doc[some]], many)
+    at = (np.repeat(begin[doc[some]] + start[some], many) + inner)[hit]
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + length, -1)
+    gone = np.cumsum(edge, dtype=np.int16, out=edge) > 0
+    del edge
+    return {d: gone[b : b + len(t)] for (d, _, t), b in zip(documents, begin.tolist(), strict=True)}
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes long, spans array of (start, end) long (maximal removed runs), kept binary: one row per
     row of docs, bytes of the UTF-8 text."""
-    spark = docs.sparkSession
-    owners = tasks(spark)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     own_id = F.coalesce("doc_id", F.lit(_LEAST))
     staged = stage(rows.select("*", own_id.alias("_id"), F.unhex(F.sha2("text", 256)).alias("_class")), "suffix")
+    owners = owners_of(staged)
     named = staged.select("_class", "_id", "sender", "docno")
     firsts = written(named.groupBy("_class").agg(F.min("_id").alias("_id")), "firsts")
     control = named.join(firsts, ["_class", "_id"]).groupBy("sender").agg(F.collect_list("docno").alias("docnos"))
     control = written(control.select("sender", F.lit(-1).alias("owner"), "docnos", F.lit(None).cast("binary").alias("values")), "control")
-    texts = staged.select("sender", "docno", "_id", "text")
     drop = np.uint64(64 - exchange.BITS)
 
-    def prints(table, control):
+    def first_documents(table, control):
         wanted = set(next((d for d in control["docnos"].to_pylist() if d is not None), []))
-        out = []
-        for docno, own, text in zip(table["docno"].to_pylist(), table["_id"].to_pylist(), table["text"].to_pylist(), strict=True):
-            if docno in wanted:
-                data = text.encode()
-                out.append((docno, own, data, *short_documents(data, length)))
-        return out
+        rows = zip(table["docno"].to_pylist(), table["_id"].to_pylist(), table["text"], strict=True)
+        return ((docno, own, text.as_py().encode()) for docno, own, text in rows if docno in wanted)
 
     def send(key, table, control):
-        found = [np.unique(k >> drop) for *_, k, _, _ in prints(table, control)]
-        values, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64),) * 2
-        return exchange.message_table(exchange.message_rows(key[0].as_py(), values, counts, owners) if len(values) else [])
+        found = [np.unique(short_documents(data, length)[0] >> drop) for _, _, data in first_documents(table, control)]
+        return trimmed(exchange.message_table(exchange.message_rows(key[0].as_py(), np.concatenate(found), owners) if found else []))
 
     def cut(key, table, control):
         import pyarrow as pa
 
-        documents = prints(table, control)
-        level = exchange.read_answers([(o, v) for o, v in zip(control["owner"].to_pylist(), control["values"].to_pylist(), strict=True) if o >= 0])
-        flat = np.concatenate([d[3] for d in documents]) if documents else np.zeros(0, np.uint64)
-        level = level[np.unique(flat >> drop, return_inverse=True)[1]] if len(flat) else level
-        out, at = [], 0
-        for docno, own, data, keys, first, last in documents:
-            levels = level[at : at + len(keys)]
-            at += len(keys)
-            shared = np.flatnonzero(levels > 0)
-            for k, a, b, x in zip(keys[shared].astype(np.int64).tolist(), first[shared].tolist(), last[shared].tolist(), levels[shared].tolist(), strict=True):
-                if x < HOT:
-                    out.append((docno, own, k, a, data[a : b + length]))
-                else:
-                    places = np.arange(a, b + 1)
-                    each = span_hashes(data[a : b + length], places - a, places - a + length).astype(np.int64).tolist()
-                    out += [(docno, own, w, p, data[p : p + length]) for w, p in zip(each, places.tolist(), strict=True)]
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
-        return pa.table([pa.array([key[0].as_py()] * len(out), pa.int32()), *arrays], ["sender", "docno", "own", "key", "start", "part"])
-
-    def finish(key, table, decided):
+        answers = exchange.read_answers([(o, v) for o, v in zip(control["owner"].to_pylist(), control["values"].to_pylist(), strict=True) if o >= 0])
+        documents, keys = [], []
+        for docno, own, data in first_documents(table, control):
+            found, first, last = short_documents(data, length)
+            keys.append(found)
+            documents.append((docno, own, data, first, last))
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        del keys, table
+        level = exchange.levels_of(flat, answers)
+        columns = list(zip(*part_messages(key[0].as_py(), documents, flat, level, owners, length), strict=True)) or [[]] * 8
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        return trimmed(pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in PARTS.split(", ")]))
+
+    def owned(table):
+        import pyarrow as pa
+
+        told = decide(list(zip(*(table[c].to_pylist() for c in ("keys", "names", "sizes", "least", "text")), strict=True)), length)
+        columns = [pa.array(c, pa.binary()) for c in zip(*told, strict=True)]
+        return trimmed(pa.table([table["sender"], table["owner"], *columns], ["sender", "owner", "least", "several", "best"]))
+
+    def finish(key, table, known):
         import pyarrow as pa
 
-        where: dict[int, list[np.ndarray]] = {}
-        for docno, start, own, best in zip(*(decided[c].to_pylist() for c in ("docno", "start", "own", "best")), strict=True):
-            if best is not None:
-                where.setdefault(docno, []).append(np.flatnonzero(np.array(best) < own) + start)
-        firsts = set(next((d for d in decided["docnos"].to_pylist() if d is not None), []))
-        out = []
-        for docno, doc_id, text in zip(*(table[c].to_pylist() for c in ("docno", "doc_id", "text")), strict=True):
-            data = text.encode()
-            # A row that isn't among the first of its text has a copy with a smaller doc_id.
-            starts = np.concatenate(where.get(docno, [np.zeros(0, np.int64)])) if docno in firsts else np.arange(max(0, len(data) - length + 1))
-            edge = np.zeros(len(data) + 1, np.int32)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + length, -1)
-            gone = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
-            turns = np.flatnonzero(np.diff(gone)).tolist()
+        rows = known.to_pylist()
+        firsts = next((r["docnos"] for r in rows if r["docnos"] is not None), [])
+        places = next((r["places"] for r in rows if r["places"] is not None), None)
+        told = [(r["owner"], r["least"], r["several"], r["best"]) for r in rows if r["owner"] >= 0]
+        documents = list(first_documents(table, pa.table({"docnos": pa.array([firsts], pa.list_(pa.int32()))})))
+        where = covered(documents, _unpacked(places, np.int32).reshape(4, -1), told, length) if places is not None else {}
+        known_first, out = set(firsts), []
+        del documents, told, rows
+        for docno, doc_id, text in zip(table["docno"].to_pylist(), table["doc_id"].to_pylist(), table["text"], strict=True):
+            data = text.as_py().encode()
+            gone = where.get(docno)
+            if docno not in known_first:  # a copy of a text with a smaller doc_id
+                gone = np.full(len(data), len(data) >= length)
+            turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))).tolist() if gone is not None else []
             spans = [{"start": a, "end": b} for a, b in zip(turns[0::2], turns[1::2], strict=True)]
             kept = data if not spans else b"".join(data[a:b] for a, b in zip([0, *turns[1::2]], [*turns[0::2], len(data)], strict=True))
             out.append((doc_id, len(data), spans, kept))
         columns = list(zip(*out, strict=True)) or [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "spans", "kept"])
+        return trimmed(pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "spans", "kept"]))
 
-    left = texts.groupBy("sender")
+    left = staged.select("sender", "docno", "_id", "text").groupBy("sender")
     answers = exchange.answer(left.cogroup(control.groupBy("sender")).applyInArrow(send, exchange.MESSAGE))
     answers = answers.select("sender", "owner", F.lit(None).cast("array<int>").alias("docnos"), "values")
-    schema = "sender int, docno int, own long, key long, start int, part binary"
-    parts = written(left.cogroup(control.unionByName(answers).groupBy("sender")).applyInArrow(cut, schema), "parts")
-    parts = parts.withColumn("name", F.xxhash64("part"))
-    alike = parts.groupBy("key", "name", "part").agg(F.min("own").alias("least"), F.max("own").alias("most"))
-    dealt = alike.repartition(owners, "key").sortWithinPartitions("key").select("key", "name", "part", "least", "most")
-    decided = written(dealt.mapInArrow(_decide(length), "key long, name long, best array<bigint>"), "decided")
-    occurs = parts.select("sender", "docno", "own", "start", "key", "name").join(decided, ["key", "name"])
-    occurs = occurs.select("sender", "docno", "own", "start", "best", F.lit(None).cast("array<int>").alias("docnos"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("docno", "int"), ("own", "long"), ("start", "int"), ("best", "array<bigint>"))]
-    known = control.select("sender", *none, "docnos").unionByName(occurs)
-    whole = staged.select("sender", "docno", "doc_id", "text").groupBy("sender").cogroup(known.groupBy("sender"))
+    parts = written(left.cogroup(control.unionByName(answers).groupBy("sender")).applyInArrow(cut, PARTS), "parts")
+    decided = parts.where("owner >= 0").groupBy("owner").applyInArrow(owned, DECIDED)
+    known = decided.withColumns({"docnos": F.lit(None).cast("array<int>"), "places": F.lit(None).cast("binary")})
+    for more in (control.select("sender", "owner", "docnos"), parts.where("owner < 0").select("sender", "owner", "places")):
+        known = known.unionByName(more, allowMissingColumns=True)
+    whole = staged.select("sender", "docno", "_id", "doc_id", "text").groupBy("sender").cogroup(known.groupBy("sender"))
     return whole.applyInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
