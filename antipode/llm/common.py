@@ -50,11 +50,14 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def cache(name: str, make):
-    """One object per worker process, kept across tasks (functions pickled by value lose module globals)."""
+    """One object per worker process, kept across tasks (functions pickled by value lose module globals). A worker has
+    one such object at a time: what another operator left there goes first, so that memories don't add up."""
     held = sys.modules.setdefault("_antipode_process_cache", types.ModuleType("_antipode_process_cache"))
-    if not hasattr(held, name):
-        setattr(held, name, make())
-    return getattr(held, name)
+    if getattr(held, "name", None) != name:
+        held.name = held.value = None
+        trimmed(None)
+        held.name, held.value = name, make()
+    return held.value
 
 
 def trimmed(result):

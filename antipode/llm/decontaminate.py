@@ -22,12 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cache, text_or_empty
+from .common import cache
 
 Q = 10
 ITEM_BYTES = 16 << 20
 #: Characters of documents that are searched at once.
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -191,23 +191,31 @@ def _searcher(spark, items, q, error_rate):
     held, name = spark.sparkContext.broadcast(items), f"items_{uuid.uuid4().hex}"
 
     def search(texts):
-        """The numbers of documents come with each match, block of documents by block."""
+        """(number of the text, item_id, start, end, edits), block of texts by block; texts may be null."""
         index = cache(name, lambda: Items(held.value, q, error_rate))
-        a, chars = 0, 0
-        for b, text in enumerate(texts):
-            chars += len(text)
-            if chars >= BLOCK_CHARS or b == len(texts) - 1:
-                for n, i, *rest in index.matches([normal(t) for t in texts[a : b + 1]]):
-                    yield a + n, index.ids[i], *rest
-                a, chars = b + 1, 0
+        first, block, chars = 0, [], 0
+        for text in texts:
+            block.append(normal(text or ""))
+            chars += len(block[-1])
+            if chars >= BLOCK_CHARS:
+                for n, i, *rest in index.matches(block):
+                    yield first + n, index.ids[i], *rest
+                first, block, chars = first + len(block), [], 0
+        for n, i, *rest in index.matches(block) if block else ():
+            yield first + n, index.ids[i], *rest
 
     return search
 
 
+def _texts(column):
+    """One text at a time, so that a batch's texts are never all held as Python strings."""
+    return (x.as_py() for x in column)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: float = 0.08) -> DataFrame:
     """doc_id, item_id, start long, end long (characters of the normalised text), edits int."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = docs.select("doc_id", "text")
     schema = "doc_id long, item_id long, start long, end long, edits int"
     out = spark.createDataFrame([], schema)
 
@@ -216,8 +224,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: fl
             import pyarrow as pa
 
             for batch in batches:
-                ids, texts = (c.to_pylist() for c in batch.columns)
-                found = [(ids[n], *rest) for n, *rest in search(texts)]
+                ids = batch.column("doc_id")
+                found = [(ids[n].as_py(), *rest) for n, *rest in search(_texts(batch.column("text")))]
                 columns = list(zip(*found, strict=True)) or [[]] * 5
                 kinds = [pa.int64()] * 4 + [pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "start", "end", "edits"])
@@ -232,7 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: fl
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: float = 0.08) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), text_or_empty().alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
 
     def keeper(search):
         def keep(batches):
@@ -240,7 +248,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = Q, error_rate: float =
 
             for batch in batches:
                 mask = np.ones(batch.num_rows, bool)
-                mask[[n for n, *_ in search(batch.column("text").to_pylist())]] = False
+                mask[[n for n, *_ in search(_texts(batch.column("doc").field("text")))]] = False
                 yield batch.filter(pa.array(mask))
 
         return keep

@@ -18,6 +18,7 @@ from. A doc_id with several labels counts as toxic if any says so. Without label
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cache, text_or_empty
 
 BUCKETS = 1 << 18
 WORD = re.compile(r"[^\W\d_]+")
@@ -83,7 +84,7 @@ class Model:
             found = memory.get(word)
             if found is None:
                 found = tuple(f for f in word_features(word) if f in self.weights)
-                if len(memory) >= 500_000:
+                if len(memory) >= 300_000:
                     memory.clear()
                 if len(word) <= 64:
                     memory[word] = found
@@ -169,12 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, l1: float
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out boolean, score double, predicted int"""
-    weights, bias = model.weights, model.bias
+    weights, bias, name = model.weights, model.bias, f"toxicity_{uuid.uuid4().hex}"
 
     def scored(batches):
         import pyarrow as pa
 
-        own = Model(weights, bias)
+        own = cache(name, lambda: Model(weights, bias))
         for batch in batches:
             s = [own.score(t) for t in batch.column("text").to_pylist()]
             told = [pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())]
@@ -186,14 +187,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs whose score is below the threshold, with all their columns, whatever their names."""
-    weights, bias = model.weights, model.bias
+    weights, bias, name = model.weights, model.bias, f"toxicity_{uuid.uuid4().hex}"
 
     def keep(batches):
         import pyarrow as pa
 
-        own = Model(weights, bias)
+        own = cache(name, lambda: Model(weights, bias))
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([own.score(t.as_py() or "") < threshold for t in batch.column("doc").field("text")], pa.bool_()))
 
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), text_or_empty().alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     return rows.mapInArrow(keep, rows.schema).select("doc.*")
