@@ -33,7 +33,7 @@ def question_answers(questions: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def metrics(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """total, answered, correct, precision, recall, f: null where the reference quotient is 0/0."""
+    """total, answered, correct, precision, recall, f: null where the quotient is 0/0."""
     total = questions.agg(F.count("*").alias("total"))
     right = answers.agg(F.count("*").alias("answered"), F.count(F.when(F.col("correct"), 1)).alias("correct"))
     p = F.try_divide(F.col("correct").cast("double"), F.col("answered").cast("double"))
