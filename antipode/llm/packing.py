@@ -5,8 +5,10 @@ smallest: into an open sequence with a gap that is at least its length, or into
 don't count. Ties go to the smallest gap. Pieces are dealt, by a hash of their row, into shards of about
 ``SHARD`` pieces; a shard is packed in one task, longest pieces first, and the pieces of its unfilled
 sequences are packed again as long as that saves sequences. What is still in unfilled sequences goes into
-the next round, with as many fewer shards, until one shard holds it all. So every task is bounded by
-``SHARD`` pieces, rounds are logarithmic, and the loss against one global packing is a few sequences.
+the next round, with as many fewer shards, until one shard holds it all. Where more than half of a shard's
+pieces would go on (lengths that don't add up to full sequences), its fullest sequences are closed as they
+are until half is left. So every task is bounded by ``SHARD`` pieces, every round has at most half of the
+pieces of the one before, whatever the lengths, and every piece is placed.
 
 Nulls: a null text is empty (one piece that holds the end id alone); a null doc_id is kept. Repeated rows
 are packed each, an empty table gives none, other columns are ignored.
@@ -101,12 +103,15 @@ def _packer(size: int, round_no: int, last: bool):
     def packed(pdf):
         lengths = pdf["length"].to_numpy()
         found = pack_shard(lengths, size)
-        fills = [lengths[s].sum() for s in found]
-        counts = [len(s) for s in found]
+        fills = np.array([lengths[s].sum() for s in found])
+        counts = np.array([len(s) for s in found])
+        fullest = np.argsort(-fills, kind="stable")
+        closed = np.empty(len(found), bool)
+        closed[fullest] = 2 * (np.cumsum(counts[fullest]) - counts[fullest]) < len(lengths)
         out = pdf.iloc[np.concatenate(found)].drop(columns="_shard")
         out["sequence_id"] = (round_no << 54) | (int(pdf["_shard"].iloc[0]) << 20) | np.repeat(np.arange(len(found)), counts)
         out["offset"] = np.concatenate([np.cumsum(lengths[s]) - lengths[s] for s in found])
-        out["_done"] = (np.repeat(fills, counts) == size) | last
+        out["_done"] = np.repeat((fills == size) | closed, counts) | last
         return out
 
     return packed

@@ -103,6 +103,22 @@ def test_packing_in_shards_is_tight(spark, library):
     assert used <= 1.02 * -(-tokens // 64) + 2
 
 
+def test_packing_ends_where_nothing_fills(spark, library):
+    import pandas as pd
+
+    shard = pd.DataFrame({"row_id": range(301), "length": 40, "_shard": 0})
+    out = packing._packer(64, 0, False)(shard)
+    assert sorted(out["row_id"]) == list(range(301)) and 2 * (~out["_done"]).sum() <= 301
+    # More than `shard` pieces of one length above half the size, alone and beside others.
+    alike = [(k, "a " * 40) for k in range(450)]
+    rnd = random.Random(5)
+    for many in (alike, alike + [(1000 + k, "a " * rnd.randint(0, 70)) for k in range(450)]):
+        found = packing.pack(documents(spark, many), PATH, size=64, shard=100).collect()
+        used, _ = check_packing(found, many, library, 64)
+        lengths = pd.Series([r["length"] for r in found])
+        assert used <= 1.05 * len(packing.pack_shard(lengths[lengths < 64].to_numpy(), 64)) + (lengths == 64).sum() + 2
+
+
 def test_sum_of_squares_rule():
     import numpy as np
 
