@@ -69,10 +69,17 @@ def line_cooccurrences(lines: DataFrame, vocab: DataFrame, window: int, weight:
 
 
 def sentence_cooccurrences(encoded: DataFrame, *key: str, symmetric: bool = True) -> DataFrame:
-    """w1, w2, count: every pair of a sentence, weight 1."""
+    """w1, w2, count: every pair of a sentence, weight 1. Symmetric counts come from the counts of a sentence's words,
+    so a long sentence costs the square of its distinct words and not of its length."""
     known = encoded.where("id IS NOT NULL")
+    if symmetric:
+        counts = known.groupBy(*key, "id").agg(F.count("*").alias("n"))
+        left = counts.select(*key, F.col("id").alias("w1"), F.col("n").alias("n1"))
+        right = counts.select(*key, F.col("id").alias("w2"), F.col("n").alias("n2"))
+        ways = F.col("n1") * (F.col("n2") - F.when(F.col("w1") == F.col("w2"), 1).otherwise(0))
+        pairs = left.join(right, list(key)).select("w1", "w2", ways.alias("ways")).where("ways > 0")
+        return pairs.groupBy("w1", "w2").agg(F.sum("ways").cast("double").alias("count"))
     left = known.select(*key, F.col("pos").alias("i"), F.col("id").alias("w1"))
     right = known.select(*key, F.col("pos").alias("j"), F.col("id").alias("w2"))
     pairs = left.join(right, list(key)).where("i < j").select("w1", "w2")
-    pairs = _both_ways(pairs) if symmetric else pairs
     return pairs.groupBy("w1", "w2").agg(F.count("*").cast("double").alias("count"))

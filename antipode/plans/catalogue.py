@@ -251,6 +251,19 @@ def cooc_sentence(spark, sf_dir):
     return cooccurrence.sentence_cooccurrences(_encoded(spark, sf_dir, _vocab(spark, sf_dir)).where("pos < 20"), *KEY)
 
 
+@query(
+    o.sql(
+        o.VOCAB,
+        "known AS (SELECT doc_id, line_no, pos, id FROM tokens JOIN vocab USING (word))",
+        "one AS (SELECT a.id AS w1, b.id AS w2 FROM known a JOIN known b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.pos < b.pos)",
+        'SELECT w1, w2, count(*)::DOUBLE AS "count" FROM (SELECT w1, w2 FROM one UNION ALL SELECT w2, w1 FROM one) GROUP BY ALL',
+    )
+)
+def cooc_sentence_whole(spark, sf_dir):
+    """Pairs of whole sentences, however long."""
+    return cooccurrence.sentence_cooccurrences(_encoded(spark, sf_dir, _vocab(spark, sf_dir)), *KEY)
+
+
 def top_cooccurrences(spark, sf_dir):
     return _cooc(spark, sf_dir, _vocab(spark, sf_dir)).orderBy(F.desc("count"), "w1", "w2").limit(100)
 
