@@ -517,10 +517,10 @@ def model_roundtrip(spark, sf_dir):
 
 
 def _trainable(spark, sf_dir):
-    """A model and updates of a size for tests: the first 50 words."""
+    """The initial model of the whole vocabulary, and the whole update table."""
     vocab, cooc, stats = _training_inputs(spark, sf_dir)
-    rows = updates.update_table(cooc, stats, _thesaurus(vocab)).where("w1 < 50 AND w2 < 50")
-    return training.initial_model(vocab.where("id < 50"), 8), storage.written(rows, "updates")
+    rows = updates.update_table(cooc, stats, _thesaurus(vocab))
+    return training.initial_model(vocab, 8), storage.written(rows, "updates")
 
 
 @query()

@@ -3,7 +3,11 @@
 import random
 from collections import Counter
 
-from antipode.operators import cooccurrence
+import numpy as np
+import pytest
+from test_model import replay
+
+from antipode.operators import cooccurrence, training
 from antipode.plans import catalogue
 
 
@@ -28,3 +32,32 @@ def test_the_whole_sentence_query_has_no_prefix(spark, tmp_path):
     words = [f"x{k}" for k in range(40)]
     spark.createDataFrame([(0, " ".join(words))], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert catalogue.QUERIES["cooc_sentence_whole"](spark, str(tmp_path)).count() == 40 * 39
+
+
+@pytest.fixture(scope="module")
+def trainable(spark, sf):
+    return catalogue._trainable(spark, sf)
+
+
+def test_training_takes_every_word_and_update(spark, sf, trainable):
+    model, rows = trainable
+    ids = {r["id"] for r in catalogue.QUERIES["vocab_topn_ties"](spark, sf).collect()}
+    assert {r["id"] for r in model.collect()} == ids and max(ids) >= 1000
+    assert rows.count() == catalogue.QUERIES["update_table"](spark, sf).count()
+    named = {i for r in rows.select("w1", "w2").distinct().collect() for i in r}
+    for name in ("train_epoch", "train_resume"):
+        after = {r["id"]: r["grad"] for r in catalogue.QUERIES[name](spark, sf).collect()}
+        assert set(after) == ids and {i for i, g in after.items() if g > 0} == named
+
+
+def test_training_of_fifty_words_is_the_sequential_rule(spark, trainable):
+    model, rows = trainable
+    rows = rows.where("w1 < 50 AND w2 < 50")
+    # The replay is written for four dimensions.
+    model = training.initial_model(model.where("id < 50"), 4)
+    after, cost, _ = training.train_epoch(model, rows, tasks=1, seed=3, epoch=2)
+    words, expected = replay(model, rows, 3, 2)
+    assert abs(cost - expected) < 1e-6 * abs(expected)
+    for r in after.collect():
+        vec, bias, grad = words[r["id"]]
+        assert np.allclose(r["vec"], vec) and np.isclose(r["bias"], bias) and np.isclose(r["grad"], grad)
