@@ -380,6 +380,25 @@ def dissimilar_words(spark, sf_dir):
     return rows.select("query", "rank", "word", F.round("similarity", 6).alias("similarity"))
 
 
+def _asked_rows(model):
+    return model.where("id % 20 = 0").select(F.col("word").alias("query"))
+
+
+@query(o.sql(o.MODEL, o.similar("DESC", "x.id % 20 = 0")))
+def similar_words_all(spark, sf_dir):
+    """Asked for every row whose id is divisible by 20, so that the work grows with the table."""
+    model = _model(spark, sf_dir)
+    rows = similarity.similar_words(_asked_rows(model), model)
+    return rows.select("query", "rank", "word", F.round("similarity", 6).alias("similarity"))
+
+
+@query(o.sql(o.MODEL, o.similar("ASC", "x.id % 20 = 0")))
+def dissimilar_words_all(spark, sf_dir):
+    model = _model(spark, sf_dir)
+    rows = similarity.similar_words(_asked_rows(model), model, reverse=True)
+    return rows.select("query", "rank", "word", F.round("similarity", 6).alias("similarity"))
+
+
 @query("SELECT 'no such word' AS query, unnest(range(1, 11))::BIGINT AS rank, 'unknown' AS word, 0.0::DOUBLE AS similarity")
 def similar_unknown(spark, sf_dir):
     return similarity.similar_words(spark.createDataFrame([("no such word",)], "query string"), _model(spark, sf_dir))

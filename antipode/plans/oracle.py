@@ -85,11 +85,11 @@ def similarity(x: str, y: str) -> str:
     return f"(0.5::DOUBLE * (1 / (1 + exp(-({dot} + {x}.bias))) + 1 / (1 + exp(-({dot} + {y}.bias)))))"
 
 
-def similar(order: str) -> str:
+def similar(order: str, asked: str = "x.id < 20") -> str:
     sim = similarity("x", "y")
     return f"""SELECT query, rank, word, round(sim, 6) AS similarity FROM (
       SELECT query, word, sim, row_number() OVER (PARTITION BY query ORDER BY sim {order}, id) AS rank FROM (
-        SELECT x.word AS query, y.id, y.word, {sim} AS sim FROM model x JOIN model y ON x.id <> y.id WHERE x.id < 20)) WHERE rank <= 10"""
+        SELECT x.word AS query, y.id, y.word, {sim} AS sim FROM model x JOIN model y ON x.id <> y.id WHERE {asked})) WHERE rank <= 10"""
 
 
 STEP = ("step AS (SELECT 2 * k AS w1, 2 * k + 1 AS w2, CASE WHEN k % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS pos, CASE WHEN k % 2 = 0 THEN 0.0::DOUBLE ELSE 1.0 END AS neg FROM (SELECT unnest(range(250))::BIGINT AS k))",)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from test_model import replay
 
-from antipode.operators import cooccurrence, training
+from antipode.operators import cooccurrence, similarity, training
 from antipode.plans import catalogue
 
 
@@ -61,3 +61,14 @@ def test_training_of_fifty_words_is_the_sequential_rule(spark, trainable):
     for r in after.collect():
         vec, bias, grad = words[r["id"]]
         assert np.allclose(r["vec"], vec) and np.isclose(r["bias"], bias) and np.isclose(r["grad"], grad)
+
+
+def test_searches_take_every_twentieth_row(spark):
+    sf = "/root/testdata/sf0.1"
+    asked = {f"w{k}" for k in range(0, 2000, 20)}
+    for name in ("similar_words_all", "dissimilar_words_all"):
+        found = Counter(r["query"] for r in catalogue.QUERIES[name](spark, sf).collect())
+        assert found == dict.fromkeys(asked, 10)
+    model = catalogue._model(spark, sf)
+    one, many = (similarity.similar_words(catalogue._asked_rows(model), model, batch=b) for b in (1024, 40))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
