@@ -443,8 +443,9 @@ def mean_vector(spark, sf_dir):
     return _flat(rows.select(F.round("bias", 6).alias("bias"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec")), "bias")
 
 
-def _step_updates(spark):
-    rows = spark.range(250).select((F.col("id") * 2).alias("w1"), (F.col("id") * 2 + 1).alias("w2"))
+def _step_updates(model):
+    """The disjoint pairs (2k, 2k + 1) of all rows of the model."""
+    rows = model.where("id % 2 = 0").select(F.col("id").alias("w1"), (F.col("id") + 1).alias("w2"))
     even = F.col("w1") % 4 == 0
     return rows.select("w1", "w2", F.when(even, 1.0).otherwise(0.0).alias("pos"), F.when(even, 0.0).otherwise(1.0).alias("neg"))
 
@@ -458,7 +459,8 @@ def _step_updates(spark):
     )
 )
 def model_cost(spark, sf_dir):
-    rows = training.model_cost(_step_updates(spark), _model(spark, sf_dir))
+    model = _model(spark, sf_dir)
+    rows = training.model_cost(_step_updates(model), model)
     return rows.select(F.round("cost", 4).alias("cost"), "updates")
 
 
@@ -478,7 +480,8 @@ def model_cost(spark, sf_dir):
     )
 )
 def adagrad_step(spark, sf_dir):
-    rows = training.adagrad_step(_step_updates(spark), _model(spark, sf_dir))
+    model = _model(spark, sf_dir)
+    rows = training.adagrad_step(_step_updates(model), model)
     rows = rows.select("id", F.round("bias", 6).alias("bias"), F.round("grad", 6).alias("grad"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
     return _flat(rows, "id", "bias", "grad")
 

@@ -72,3 +72,19 @@ def test_searches_take_every_twentieth_row(spark):
     model = catalogue._model(spark, sf)
     one, many = (similarity.similar_words(catalogue._asked_rows(model), model, batch=b) for b in (1024, 40))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_steps_take_every_row(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = {r["id"]: (np.array(r["vec"]), r["bias"]) for r in catalogue._model(spark, sf).collect()}
+    cost, moved = 0.0, set()
+    for a in range(0, len(rows), 2):
+        q = 1 / (1 + np.exp(-(rows[a][0] @ rows[a + 1][0] + rows[a + 1][1])))
+        pos = 1.0 if a % 4 == 0 else 0.0
+        if 0 < q < 1:
+            cost -= pos * np.log(q) + (1 - pos) * np.log(1 - q)
+        if pos - q != 0:
+            moved |= {a, a + 1}
+    found = catalogue.QUERIES["model_cost"](spark, sf).first()
+    assert len(rows) == 2000 and found["updates"] == len(moved) / 2 and abs(found["cost"] - cost) < 1e-3
+    assert {r["id"] for r in catalogue.QUERIES["adagrad_step"](spark, sf).select("id").distinct().collect()} == moved
