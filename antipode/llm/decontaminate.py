@@ -8,8 +8,9 @@ bound are kept, and banded alignment of the item with the kept region decides. A
 ``error_rate`` of its length, less where the bound would not be above 0; items shorter than q match exactly.
 
 Every document is read once and judged by itself: nothing is shuffled, and memory is bounded by a block of
-documents (or one document) and a block of items. The items are sent to all tasks in blocks of at most
-``ITEM_BYTES`` of text, one pass over the documents for each block, so no broadcast grows with them.
+documents (or one document), a block of items and ``ENTRIES`` shared q-grams. The items are sent to all tasks in
+blocks of at most ``ITEM_BYTES`` of text, one pass over the documents for each block, so no broadcast grows with
+them. Items shorter than q are looked up by length in hash tables of their own.
 
 Nulls: null or empty document text holds nothing; null or empty items are not looked for; null ids are
 kept. Repeated rows are reported each. Empty tables: no matches. Extra columns are carried by ``clean``
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import cache
 
 Q = 10
-ITEM_BYTES = 16 << 20
+ITEM_BYTES = 4 << 20
+#: Shared q-grams (place in a document, place in an item) that are counted at once.
+ENTRIES = 1 << 21
 #: Characters of documents that are searched at once.
 BLOCK_CHARS = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -65,7 +68,13 @@ class Items:
         self.size = size
         self.budget = np.maximum(0, np.minimum((size * error_rate).astype(np.int64), (size - q) // q))
         self.bound = size - q + 1 - self.budget * q
-        self.short = [k for k, n in enumerate(size) if 0 < n < q]
+        self.short = {}  # by length: the items' hashes, sorted, and their numbers
+        for n in range(1, q):
+            own = np.flatnonzero(size == n)
+            if len(own):
+                hashes = np.concatenate([gram_hashes(self.points[k], n) for k in own])
+                order = np.argsort(hashes, kind="stable")
+                self.short[n] = hashes[order], own[order]
         grams = [gram_hashes(p, q) for p in self.points]
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
@@ -73,6 +82,8 @@ class Items:
         order = np.argsort(flat, kind="stable")
         self.grams, self.first, self.many = np.unique(flat[order], return_index=True, return_counts=True)
         self.owner, self.place = owner[order], place[order].astype(np.int64)
+        # Gram and item in one number, sorted: where a gram's entries of a range of items stand.
+        self.keyed = np.repeat(np.arange(len(self.grams)), self.many) * len(items) + self.owner
         bits = max(16, min(26, int(len(self.grams) * 64).bit_length()))
         self.shift = np.uint64(64 - bits)
         self.table = np.zeros(1 << bits, bool)
@@ -97,19 +108,49 @@ class Items:
         at, where = at[near >= self.least], where[near >= self.least]
         if not len(at):
             return none
-        many = self.many[where]
-        entry = np.repeat(self.first[where] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        item, at = self.owner[entry], np.repeat(at, many)
         doc = np.searchsorted(starts, at, "right") - 1
-        step = self.budget[item] + 1
-        band = (at - starts[doc] - self.place[entry]) // step
-        key = np.concatenate([band, band - 1]) + (1 << 31)
-        key |= np.concatenate([doc * len(self.ids) + item] * 2) << 32
-        key, count = np.unique(key, return_counts=True)
-        doc, item = np.divmod(key >> 32, len(self.ids))
+        found = [self._bands(at[a:b], where[a:b], doc[a:b], starts, lo, hi) for a, b, lo, hi in self._slices(self.many[where], doc)]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else none
+
+    def _slices(self, many: np.ndarray, doc: np.ndarray):
+        """(first place, last place, first item, last item): whole documents of about ENTRIES entries together; one
+        document with more by ranges of items."""
+        edges = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+        total = np.concatenate([[0], np.cumsum(many)])
+        k = 0
+        while k < len(edges) - 1:
+            a = edges[k]
+            k = max(k + 1, int(np.searchsorted(total[edges], total[a] + ENTRIES, "right")) - 1)
+            ranges = -(-int(total[edges[k]] - total[a]) // ENTRIES)
+            step = -(-len(self.ids) // max(1, ranges))
+            for lo in range(0, len(self.ids), step):
+                yield a, edges[k], lo, min(len(self.ids), lo + step)
+
+    def _bands(self, at, where, doc, starts, lo: int, hi: int):
+        """(document, item, first diagonal) of the bands of items lo to hi that reach their bound."""
+        first = np.searchsorted(self.keyed, where * len(self.ids) + lo)
+        many = np.searchsorted(self.keyed, where * len(self.ids) + hi) - first
+        entry = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        item, at, doc = self.owner[entry], np.repeat(at, many), np.repeat(doc, many)
+        band = (at - starts[doc] - self.place[entry]) // (self.budget[item] + 1)
+        pair, number = np.unique(doc * len(self.ids) + item, return_inverse=True)
+        # Pair and band stay apart until pairs are numbered, so that both fit in 63 bits.
+        key, count = np.unique(np.concatenate([number, number]) << 32 | np.concatenate([band, band - 1]) + (1 << 31), return_counts=True)
+        doc, item = np.divmod(pair[key >> 32], len(self.ids))
         fits = count >= self.bound[item]
-        doc, item, band = doc[fits], item[fits], (key[fits] & 0xFFFFFFFF) - (1 << 31)
-        return doc, item, band * (self.budget[item] + 1)
+        item = item[fits]
+        return doc[fits], item, ((key[fits] & 0xFFFFFFFF) - (1 << 31)) * (self.budget[item] + 1)
+
+    def short_matches(self, points: np.ndarray, starts: np.ndarray):
+        """(document, item, 0 edits, start, end) of the items shorter than q, wherever they stand."""
+        for n, (hashes, items) in self.short.items():
+            told = gram_hashes(points, n)
+            first, last = np.searchsorted(hashes, told), np.searchsorted(hashes, told, "right")
+            for at in np.flatnonzero(first < last).tolist():
+                doc = int(np.searchsorted(starts, at, "right")) - 1
+                for k in items[first[at] : last[at]].tolist():
+                    if (points[at : at + n] == self.points[k]).all():
+                        yield doc, k, 0, int(at - starts[doc]), int(at - starts[doc]) + n
 
     def align(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, diagonal: np.ndarray):
         """(edits, start, end) of each item's best alignment whose diagonals lie around the band, with free
@@ -160,13 +201,7 @@ class Items:
             edits, start, end = self.align(flat, starts[d], starts[d] + sizes[d] - 1, i, g)
             fits = edits <= self.budget[i]
             found += zip(d[fits].tolist(), i[fits].tolist(), edits[fits].tolist(), start[fits].tolist(), end[fits].tolist(), strict=True)
-        for k in self.short:
-            word = "".join(map(chr, self.points[k]))
-            for n, t in enumerate(texts):
-                at = t.find(word)
-                while at >= 0:
-                    found.append((n, k, 0, at, at + len(word)))
-                    at = t.find(word, at + len(word))
+        found += self.short_matches(flat, starts)
         out, taken = [], {}
         for d, i, e, s, t in sorted(found):
             if all(t <= a or b <= s for a, b in taken.setdefault((d, i), [])):
