@@ -2,18 +2,17 @@
 
 A text's features are its words and marks and the pairs of neighbours, hashed into ``BUCKETS`` buckets. Two
 generative models give each bucket a probability: the target's over documents labelled good, the raw one's
-over all documents. A document's log importance weight is the sum over its features of the log ratio,
-with features counted up to ``SPAN`` in all (longer documents weigh by their mean), so length alone
-neither makes nor breaks a document. Adding Gumbel noise and taking the k largest keys samples k documents
-without replacement in proportion to the weights.
+over all documents. A document's log importance weight is the sum over all its features of the log ratio,
+divided by ``temperature`` (1: the weight itself). Adding Gumbel noise and taking the k largest keys samples k
+documents without replacement in proportion to the weights.
 
-Both models are sums of one array a task, added up before and after one small shuffle; two passes over the
-documents, no text is moved. The k-th largest key is found exactly by counting keys in ever finer bins, so
-nothing is sorted or gathered as a whole.
+Both models are sums of one array a task, added up in a tree of small groups; two passes over the documents, no
+text is moved. The k-th largest key is found exactly by counting keys in ever finer bins, so nothing is sorted
+or gathered as a whole.
 
 Nulls: null or empty text has no features and weight 0. A null doc_id is kept and is never labelled.
-Without labels the target is the raw model and the sample uniform. Repeated rows count and are sampled
-each, ties in keys go by doc_id. Empty tables give no rows; other columns are ignored.
+Without labels the target is the raw model and the sample uniform. Repeated rows count each, and each has a
+draw of its own; ties in keys go by doc_id. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +27,10 @@ from pyspark.sql import functions as F
 from .common import text_or_empty, written
 
 BUCKETS = 1 << 16
-SPAN = 256
+#: Arrays that are added up in one group.
+FAN_IN = 128
+#: Repeats of a row that are numbered in one go.
+REPEATS = 4096
 PIECE = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -65,6 +67,7 @@ def model(docs: DataFrame, labels: DataFrame, sample_rows: int = 100_000) -> np.
 
     def count(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
         features, sums = Features(), np.zeros((2, BUCKETS))
         for batch in batches:
@@ -73,12 +76,20 @@ def model(docs: DataFrame, labels: DataFrame, sample_rows: int = 100_000) -> np.
                 sums[1] += found
                 if good:
                     sums[0] += found
-        yield pa.RecordBatch.from_arrays([pa.array(sums.tolist(), pa.list_(pa.float64())), pa.array([0, 1], pa.int32())], ["sums", "which"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([zlib.compress(sums.tobytes(), 1)], pa.binary())], ["part", "sums"])
 
-    parts = rows.mapInArrow(count, "sums array<double>, which int")
-    total = parts.select("which", F.posexplode("sums").alias("bucket", "n")).where("n > 0").groupBy("which", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    def add(table):
+        import pyarrow as pa
+
+        total = sum(np.frombuffer(zlib.decompress(x.as_py())) for x in table["sums"])
+        return pa.table([table["part"][:1], pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "sums"])
+
+    parts = rows.mapInArrow(count, "part int, sums binary")
+    for _ in range(2):  # what is left is one array for each FAN_IN^2 tasks
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("part").applyInArrow(add, "part int, sums binary")
     sums = np.zeros((2, BUCKETS))
-    sums[total["which"].to_numpy(), total["bucket"].to_numpy()] = total["n"].to_numpy()
+    for row in parts.select("sums").toLocalIterator():
+        sums += np.frombuffer(zlib.decompress(row[0])).reshape(2, BUCKETS)
     if not sums[0].sum():
         return np.zeros(BUCKETS)
     # Buckets that the target lacks are as rare there as the raw model's smallest share allows.
@@ -88,8 +99,13 @@ def model(docs: DataFrame, labels: DataFrame, sample_rows: int = 100_000) -> np.
     return np.log(target) - np.log(raw)
 
 
-def keys(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
-    """doc_id, log_weight double, key double: log_weight with Gumbel noise from a hash of (seed, doc_id, text)."""
+def log_weight(found: np.ndarray, ratio: np.ndarray, temperature: float = 1.0) -> float:
+    """The log ratio of the two models' probabilities of a document with these features."""
+    return float(ratio[found].sum()) / temperature
+
+
+def keys(docs: DataFrame, ratio: np.ndarray, seed: int = 0, temperature: float = 1.0) -> DataFrame:
+    """doc_id, log_weight double, draw long: the draw is a hash of (seed, doc_id, text) with 52 bits."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def weigh(batches):
@@ -97,16 +113,27 @@ def keys(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
 
         features, ratio = Features(), held.value
         for batch in batches:
-            weights = []
-            for text in batch.column("text").to_pylist():
-                found = ratio[features(text)]
-                weights.append(float(found.sum() * min(1.0, SPAN / len(found))) if len(found) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("draw"), pa.array(weights, pa.float64())], ["doc_id", "draw", "log_weight"])
+            weights = [log_weight(features(t), ratio, temperature) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weights, pa.float64()), batch.column("draw")], ["doc_id", "log_weight", "draw"])
+
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = rows.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 12).alias("draw"))
+    return rows.mapInArrow(weigh, "doc_id long, log_weight double, draw long")
+
 
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text"), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", draw.alias("draw"))
-    rows = rows.mapInArrow(weigh, "doc_id long, draw double, log_weight double")
-    return rows.select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log("draw"))).alias("key"))
+def noisy(rows: DataFrame) -> DataFrame:
+    """doc_id, log_weight, key double: the log weight with Gumbel noise. Rows that repeat a draw (the same doc_id and
+    text) are numbered from 0, and all but the first draw anew by their numbers; numbers are made in blocks, in
+    as many tasks as it takes."""
+    same = rows.groupBy("doc_id", "log_weight", "draw").agg(F.count("*").alias("n"))
+    first = same.select("doc_id", "log_weight", "draw")
+    blocks = same.where("n > 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))).alias("block"))
+    blocks = blocks.repartition("doc_id", "draw", "block")
+    last = F.least(F.col("n"), (F.col("block") + 1) * REPEATS) - 1
+    numbers = blocks.select("doc_id", "log_weight", "draw", F.explode(F.sequence(F.col("block") * REPEATS, last)).alias("k")).where("k > 0")
+    repeats = numbers.select("doc_id", "log_weight", F.shiftrightunsigned(F.xxhash64("draw", "k"), 12).alias("draw"))
+    uniform = (F.col("draw").cast("double") + 0.5) / F.lit(float(1 << 52))
+    return first.unionByName(repeats).select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("key"))
 
 
 def largest(rows: DataFrame, k: int, bins: int = 4096, small: int = 10_000) -> DataFrame:
@@ -135,11 +162,11 @@ def largest(rows: DataFrame, k: int, bins: int = 4096, small: int = 10_000) -> D
     return above.unionByName(edge)
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, seed: int = 0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, seed: int = 0, temperature: float = 1.0) -> DataFrame:
     """doc_id, log_weight, key of the sampled documents: a share of all rows, by default the share of good ones among
     the labelled."""
     if fraction is None:
         said = labels.where("quality IS NOT NULL").agg(F.avg(F.when(F.col("quality") == 1, 1.0).otherwise(0.0))).first()[0]
         fraction = 1.0 if said is None else said
-    rows = written(keys(docs, model(docs, labels), seed), "keys")
+    rows = written(noisy(written(keys(docs, model(docs, labels), seed, temperature), "weights")), "keys")
     return largest(rows, int(np.ceil(rows.count() * fraction)))
