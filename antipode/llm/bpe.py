@@ -6,20 +6,26 @@ receive; the vocabulary file itself is never copied into the repository.
 
 from __future__ import annotations
 
-import functools
 import json
+import sys
+import types
 
 LETTER, NUMBER = r"\p{L}", r"\p{N}"
 #: The split pattern of byte-level BPE as published with its vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{L}{N}]+|\s+(?!\S)|\s+"
 
 
-@functools.lru_cache(maxsize=4)
 def compile_tokenizer(path: str) -> dict:
     """The file's text, its special strings, and the split pattern with the library's own Unicode classes. Callers
-    share the result and don't change it.
+    share the result and don't change it. What is kept lies outside this module, which travels to workers by value."""
+    held = sys.modules.setdefault("_antipode_compiled", types.ModuleType("_antipode_compiled")).__dict__.setdefault("files", {})
+    if path not in held:
+        held[path] = _compile(path)
+    return held[path]
 
-    The library and the ``regex`` module know different Unicode versions; code points that they class
+
+def _compile(path: str) -> dict:
+    """The library and the ``regex`` module know different Unicode versions; code points that they class
     differently are found by two probe strings over all assigned planes and taken out of the pattern."""
     import regex
     from tokenizers import Tokenizer
@@ -63,6 +69,15 @@ def _chars(ranges) -> str:
     return "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in ranges)
 
 
+def letters_numbers(compiled: dict) -> tuple[str, str]:
+    """The library's classes of letters and numbers, as sets of the ``regex`` module's version 1."""
+    out = []
+    for p, kind in (("a", LETTER), ("1", NUMBER)):
+        keep = f"[{kind}--[{_chars(compiled['drop'][p])}]]" if compiled["drop"][p] else f"[{kind}]"
+        out.append(f"[{keep}||[{_chars(compiled['add'][p])}]]" if compiled["add"][p] else keep)
+    return out[0], out[1]
+
+
 def splitter(compiled: dict):
     """A function from a text without special strings to its pre-tokens."""
     import regex
@@ -72,12 +87,8 @@ def splitter(compiled: dict):
     if not odd:
         return plain
     odd_chars = regex.compile(f"[{_chars(odd)}]").search
-    body = {}
-    for p, kind in (("a", LETTER), ("1", NUMBER)):
-        keep = f"[{kind}--[{_chars(compiled['drop'][p])}]]" if compiled["drop"][p] else f"[{kind}]"
-        body[p] = f"[{keep}||[{_chars(compiled['add'][p])}]]" if compiled["add"][p] else keep
-    rest = rf"[^\s{body['a']}{body['1']}]"
-    exact = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{body['a']}+| ?{body['1']}+| ?{rest}+|\s+(?!\S)|\s+"
+    letter, number = letters_numbers(compiled)
+    exact = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+"
     exact = regex.compile(exact, regex.V1).findall
 
     def split(text: str) -> list[str]:
