@@ -44,7 +44,7 @@ def suspects(staged: DataFrame, owners: int) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(marks).tobytes()], pa.binary())], ["sender", "bitmap"])
 
     rows = staged.select("sender", "docno", "_fp")
-    answers = exchange.answer(rows.groupBy("sender").applyInArrow(send, exchange.MESSAGE))
+    answers = exchange.answer(rows.groupBy("sender").applyInArrow(send, exchange.MESSAGE), owners)
     return rows.groupBy("sender").cogroup(answers.groupBy("sender")).applyInArrow(mark, "sender int, bitmap binary")
 
 

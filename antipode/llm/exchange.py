@@ -49,9 +49,19 @@ def owner_bounds(owners: int) -> np.ndarray:
     return np.array([(o << BITS) // owners for o in range(owners)], np.uint64)
 
 
+def small(counts: np.ndarray) -> np.ndarray:
+    """Counts in a byte each: exact below 128, then 121 + log2, rounded down."""
+    large = 121 + np.log2(np.maximum(counts, 1)).astype(np.int64)
+    return np.where(counts < 128, counts, large).astype(np.uint8)
+
+
+def large(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes < 128, codes, np.int64(1) << np.maximum(codes.astype(np.int64) - 121, 0))
+
+
 def message_rows(sender: int, fingerprints: np.ndarray, owners: int) -> list[tuple]:
-    """A sender's messages: its distinct fingerprints with the number of its rows (255 at most) that hold each. Sorts
-    fingerprints in place and goes owner by owner, to spare memory."""
+    """A sender's messages: its distinct fingerprints with the number of its rows that hold each (a byte each: from 128 on
+    rounded down to a power of two). Sorts fingerprints in place and goes owner by owner, to spare memory."""
     fingerprints.sort()
     cuts = [*np.searchsorted(fingerprints, owner_bounds(owners)).tolist(), len(fingerprints)]
     out = []
@@ -59,9 +69,8 @@ def message_rows(sender: int, fingerprints: np.ndarray, owners: int) -> list[tup
         if a < b:
             own = fingerprints[a:b]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            counts = np.minimum(np.diff(np.append(first, b - a)), 255).astype(np.uint8)
             k, base, q, r = golomb_encode(own[first])
-            out.append((sender, owner, len(first), k, base, q, r, zlib.compress(counts.tobytes(), 1)))
+            out.append((sender, owner, len(first), k, base, q, r, zlib.compress(small(np.diff(np.append(first, b - a))).tobytes(), 1)))
     return out
 
 
@@ -73,10 +82,10 @@ def message_table(rows: list[tuple]):
     return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in MESSAGE.split(", ")])
 
 
-def answer(messages: DataFrame) -> DataFrame:
-    """REPLY rows: for each fingerprint of a message, the rounded-down log2 of the rows that hold it, over all
-    senders (0: one row only). A fingerprint that several keys share counts their rows together, which can
-    only make it look more frequent."""
+def answer(messages: DataFrame, owners: int) -> DataFrame:
+    """REPLY rows: for each fingerprint of a message, its level: twice the log2, rounded down, of the rows that hold it,
+    over all senders (0: one row only). A fingerprint that several keys share counts their rows together, which can
+    only make it look more frequent. Each owner is a partition, however small the messages are."""
 
     def owned(table):
         import pyarrow as pa
@@ -84,19 +93,19 @@ def answer(messages: DataFrame) -> DataFrame:
         m = table.to_pydict()
         # Sorted, equal fingerprints stand together, and their counts are summed.
         told = np.concatenate([golomb_decode(*x) for x in zip(m["n"], m["k"], m["first"], m["quotients"], m["remainders"], strict=True)])
-        counts = np.concatenate([np.frombuffer(zlib.decompress(c), np.uint8) for c in m["counts"]])
+        counts = large(np.concatenate([np.frombuffer(zlib.decompress(c), np.uint8) for c in m["counts"]]))
         order = np.argsort(told, kind="stable")
         told = told[order]
         first = np.flatnonzero(np.concatenate([[True], told[1:] != told[:-1]]))
         del told
-        total = np.minimum(np.log2(np.add.reduceat(counts[order], first, dtype=np.int64)), 254).astype(np.uint8)
+        total = np.minimum(2 * np.log2(np.add.reduceat(counts[order], first)), 254).astype(np.uint8)
         level = np.empty(len(order), np.uint8)
         level[order] = np.repeat(total, np.diff(np.append(first, len(order))))
         cuts = np.cumsum([0, *m["n"]])
         values = [zlib.compress(level[a:b].tobytes(), 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return trimmed(pa.table([table["sender"], table["owner"], pa.array(values, pa.binary())], ["sender", "owner", "values"]))
 
-    return messages.groupBy("owner").applyInArrow(owned, REPLY)
+    return messages.repartition(owners, "owner").groupBy("owner").applyInArrow(owned, REPLY)
 
 
 def read_answers(owners_values: list[tuple[int, bytes]]) -> np.ndarray:

@@ -12,12 +12,16 @@ Sets of word shingles are ordered globally, rare shingles first, and two sets ar
 4. Each set is compared with one *hub*: of the least unshared sets of its posting lists the one it meets
    most often. A large group of copies so becomes a star, in as many comparisons as it has members.
 5. Of what posting lists still hold in different components, pairs that pass the size and position bounds
-   are compared. Long lists are cut in blocks, and block pairs go to different tasks.
+   are compared. A list is cut in blocks of its largest component and blocks of the rest; pairs of blocks go to
+   different tasks, but for those within the largest component, of which none is made.
 6. Comparing goes by probe: the sets that one probe meets are put in a prefix tree, which is walked once;
    sets below a node share the overlap counted so far, and a subtree is left when what remains of its sets
    or of the probe can't reach the overlap they need.
 
-A group is never gathered: hubs are salted, lists cut, components found by star contraction in joins.
+A group is never gathered. A token says itself how frequent it is, so joins by token are salted by it on both sides;
+pairs are dealt by ranges of (probe, member), so a hub's members spread over tasks; components come from star
+contraction. Joins by a text's class or a component's name have one small row a class on one side, and
+Spark's adaptive execution cuts the other side where a class is large.
 
 Nulls: null text is empty; without words a set is empty, linked with nothing, and its component is its own
 doc_id. A null doc_id never is a component's name unless all its ids are null. Repeated rows are linked as
@@ -34,9 +38,12 @@ from . import exchange
 from .common import owners_of, row_id, stage, tasks, text_or_empty, trimmed, written
 from .shingles import shingle_set
 
-#: Members of one comparing group, and members of one block of a posting list.
+#: Members of one comparing group, members of one block of a posting list, and rows of a token that join in one go.
 GROUP = 2048
 BLOCK = 4096
+SALT = 512
+#: Bits of a token below its frequency level.
+LEVEL = 57
 
 
 def need(n: int, percent: int) -> int:
@@ -91,13 +98,13 @@ def representative_sets(staged: DataFrame, classes: DataFrame, words: int, perce
             own = np.flatnonzero(level[a:b]) + a
             rep.append(key[0].as_py() << 33 | docno)
             n.append(b - a)
-            # The global order: by level, then hash, in one number below 2^63.
-            ranks = np.minimum(level[own], 15).astype(np.uint64) << np.uint64(59) | flat[own] >> np.uint64(5)
+            # The global order: by level (half a power of two), then hash, in one number below 2^63.
+            ranks = np.minimum(level[own], 63).astype(np.uint64) << np.uint64(LEVEL) | flat[own] >> np.uint64(64 - LEVEL)
             shared.append(np.sort(ranks.astype(np.int64)) if len(own) and len(own) >= need(b - a, percent) else None)
         return trimmed(pa.table([pa.array(rep, pa.int64()), pa.array(n, pa.int32()), pa.array(shared, pa.list_(pa.int64()))], ["rep", "n", "shared"]))
 
     left = texts.groupBy("sender")
-    answers = exchange.answer(left.cogroup(control.groupBy("sender")).applyInArrow(send, exchange.MESSAGE))
+    answers = exchange.answer(left.cogroup(control.groupBy("sender")).applyInArrow(send, exchange.MESSAGE), owners)
     answers = answers.select("sender", "owner", F.lit(None).cast("array<int>").alias("docnos"), "values")
     return left.cogroup(control.unionByName(answers).groupBy("sender")).applyInArrow(order, "rep long, n int, shared array<bigint>")
 
@@ -146,13 +153,15 @@ def walk(probe: np.ndarray, n_probe: int, members: list[tuple[int, int, np.ndarr
 
 
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (probe, member) that are linked. Groups of one probe are salted to GROUP members."""
-    salts = pairs.groupBy("probe").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    dealt = pairs.join(salts, "probe").select("probe", "member", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"))
-    members = dealt.join(sets.withColumnRenamed("rep", "member"), "member").select("probe", "salt", "member", "n", "shared")
-    probes = salts.select("probe", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    probes = probes.join(sets.withColumnRenamed("rep", "probe"), "probe").select("probe", "salt", F.lit(-1).cast("long").alias("member"), "n", "shared")
-    rows = probes.unionByName(members).repartition(tasks(pairs.sparkSession), "probe", "salt").sortWithinPartitions("probe", "salt", "member")
+    """The pairs (probe, member) that are linked. Pairs are dealt by ranges, so that a probe with very many members has
+    them in several parts, each with the probe's set; a part goes by groups of GROUP members."""
+    pairs = written(pairs, "pairs")
+    count = tasks(pairs.sparkSession)
+    dealt = written(pairs.repartitionByRange(count, "probe", "member").withColumn("part", F.spark_partition_id()), "dealt")
+    members = dealt.join(sets.withColumnRenamed("rep", "member"), "member").select("probe", "part", "member", "n", "shared")
+    probes = dealt.select("probe", "part").distinct()
+    probes = probes.join(sets.withColumnRenamed("rep", "probe"), "probe").select("probe", "part", F.lit(-1).cast("long").alias("member"), "n", "shared")
+    rows = probes.unionByName(members).repartition(count, "probe", "part").sortWithinPartitions("probe", "part", "member")
 
     def linked(batches):
         import pyarrow as pa
@@ -165,13 +174,16 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             shared = batch.column("shared")
             values, at = shared.flatten().to_numpy(), np.concatenate([[0], np.cumsum(shared.value_lengths().to_numpy())])
-            for k, (p, s, m, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("probe", "salt", "member", "n")), strict=True)):
+            for k, (p, s, m, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("probe", "part", "member", "n")), strict=True)):
                 seq = values[at[k] : at[k + 1]]
                 if (p, s) != key:
                     if group:
                         yield result([(key[0], m_) for m_, _ in walk(*probe, group, percent)])
                     key, probe, group = (p, s), (seq, n), []
                 else:
+                    if len(group) >= GROUP:
+                        yield result([(key[0], m_) for m_, _ in walk(*probe, group, percent)])
+                        group = []
                     group.append((m, n, seq))
         if group:
             yield result([(key[0], m_) for m_, _ in walk(*probe, group, percent)])
@@ -208,22 +220,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def _salts():
+    """How many parts a token's rows join in: from its level, which bounds how many rows there are."""
+    most = F.pow(F.lit(2.0), (F.shiftright("token", LEVEL) + 1) / 2)
+    return F.greatest(F.lit(1), F.ceil(most / SALT).cast("int"))
+
+
+def _with_token(postings: DataFrame, by_token: DataFrame) -> DataFrame:
+    """Each posting with the row of its token; a frequent token's rows meet copies of it in several tasks."""
+    rows = postings.withColumn("salt", F.pmod(F.xxhash64("rep"), _salts()).cast("int"))
+    return rows.join(by_token.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts() - 1))), ["token", "salt"]).drop("salt")
+
+
 def _hub_pairs(postings: DataFrame) -> DataFrame:
     """One pair (probe, member) per set: the hub that most of the set's posting lists have."""
     # A hub is the list's set with the fewest unshared shingles, then the smallest number.
     hubs = postings.groupBy("token").agg(F.min_by("rep", F.struct("unshared", "rep")).alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    met = postings.join(hubs, "token").where("rep <> hub").groupBy("rep", "hub").count()
+    met = _with_token(postings.select("token", "rep"), hubs).where("rep <> hub").groupBy("rep", "hub").count()
     return met.groupBy("rep").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("probe")).select("probe", F.col("rep").alias("member"))
 
 
 def _rest_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of different components that share a posting list and pass the size and position bounds."""
-    mixed = postings.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    rows = postings.join(mixed.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "token")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("block", own).withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.select("token", "i", "j", "block", "rep", "n", "place", "component")
+    parts = postings.groupBy("token", "component").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.max("k").alias("most"), F.sum("k").alias("m"), F.count("*").alias("parts"))
+    mixed = mixed.where("parts > 1").select("token", "major", F.ceil(F.col("most") / BLOCK).cast("int").alias("big"), F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("small"))
+    rows = _with_token(postings.select("token", "rep", "n", "place", "component"), mixed).withColumn("main", F.col("component") == F.col("major"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("big")).otherwise(F.col("small"))).cast("int"))
+    # (i, j): block i of the largest component with block j of the rest, or, with i below 0, block -i - 1 of the rest with j.
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    one = F.transform(up_to(F.col("small")), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    other = F.transform(up_to(F.col("big")), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
+    own = F.transform(up_to(F.col("small")), lambda j: F.struct((-F.least("block", j) - 1).alias("i"), F.greatest("block", j).alias("j")))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("main"), one).otherwise(F.concat(other, own))))
+    rows = rows.select("token", "at.i", "at.j", F.when(F.col("main"), -1).otherwise(F.col("block")).alias("block"), "rep", "n", "place", "component")
     rows = rows.repartition(tasks(postings.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def pairs(batches):
@@ -232,14 +262,16 @@ def _rest_pairs(postings: DataFrame, percent: int) -> DataFrame:
         def close(group):
             block, rep, n, place, component = (np.array(c, np.int64) for c in zip(*group, strict=True))
             across = block.min() != block.max()
-            for x in range(len(rep)):  # row by row: memory stays that of the block
-                fits = (component != component[x]) & (rep > rep[x]) & ((block != block[x]) if across else True)
+            # Across blocks, from the smaller one to the other; row by row: memory stays that of the block.
+            from_block = min((block.min(), block.max()), key=lambda b: (block == b).sum())
+            for x in np.flatnonzero(block == from_block) if across else range(len(rep)):
+                fits = (component != component[x]) & ((block != from_block) if across else (rep > rep[x]))
                 wants = -(-percent * (n + n[x]) // (100 + percent))
                 fits &= 1 + np.minimum(n - place - 1, n[x] - place[x] - 1) >= wants
                 fits &= np.minimum(n, n[x]) >= wants
                 if fits.any():
-                    hit = rep[fits]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), rep[x])), pa.array(hit)], ["probe", "member"])
+                    hit, mine = rep[fits], rep[x]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(hit, mine)), pa.array(np.maximum(hit, mine))], ["probe", "member"])
 
         key, group = None, []
         for batch in batches:

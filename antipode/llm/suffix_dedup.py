@@ -10,7 +10,7 @@ into short ones without losing a string:
    document. Equal strings have equal anchors, and so the same key: the hash of the anchor with the 13
    bytes before it (strings that have those) or after it (the others, which have those).
 2. Keys go through the compressed ``exchange``; only short documents whose key occurs in another document
-   go on. Equal short documents are one from then on, with the smallest doc_id.
+   go on. Short documents of equal bytes (bytes are compared) are one from then on, with the smallest doc_id.
 3. Senders send their short documents, equal ones once, to the owners of key ranges. There, those that share a
    key but aren't equal are taken together in collections of bounded size, built column by column: round r
    inserts the suffix of length r of each document into the collection's transform (positions by rank in
@@ -42,8 +42,8 @@ from .shingles import span_hashes, window_hashes
 
 LENGTH = 50
 GRAM = 24
-#: log2 of the documents from which on a key is dealt string by string.
-HOT = 13
+#: Level (twice the log2 of the documents) from which on a key is dealt string by string.
+HOT = 26
 #: Short documents of one collection.
 COLLECTION = 1 << 14
 _PART = 1 << 23
@@ -166,7 +166,7 @@ def smallest_owner(texts: list[bytes], owner: np.ndarray, length: int) -> list[n
 
 # --- what senders and owners tell each other -----------------------------------------------------------
 
-PARTS = "sender int, owner int, keys binary, names binary, sizes binary, least binary, text binary, places binary"
+PARTS = "sender int, owner int, keys binary, sizes binary, least binary, text binary, places binary"
 DECIDED = "sender int, owner int, least binary, several binary, best binary"
 
 
@@ -187,7 +187,8 @@ def part_messages(sender: int, documents: list, flat: np.ndarray, level: np.ndar
     """A sender's shared short documents, equal ones once, sorted by key and cut by owner; and, as a message to
     itself (owner -1), where each stands. documents: (docno, owner id, bytes, first, last), which the list gives up one
     by one; flat and level have their keys and the keys' levels one after the other."""
-    keys, names, parts, docnos, starts, owns = [], [], [], [], [], []
+    known: dict[bytes, int] = {}  # equal bytes have equal keys
+    chosen, least, numbers, docnos, starts = [], [], [], [], []
     at = 0
     for n, (docno, own, data, first, last) in enumerate(documents):
         documents[n] = None
@@ -201,71 +202,98 @@ def part_messages(sender: int, documents: list, flat: np.ndarray, level: np.ndar
             a, b = np.concatenate([a, each]), np.concatenate([b, each])
         if not len(key):
             continue
-        keys.append(key)
-        names.append(span_hashes(data, a, b + length))
-        parts += [data[x:y] for x, y in zip(a.tolist(), (b + length).tolist(), strict=True)]
-        docnos.append(np.full(len(key), docno, np.int32))
-        starts.append(a)
-        owns.append(np.full(len(key), own, np.int64))
-    if not keys:
+        mine = []
+        for k, x, y in zip(key.tolist(), a.tolist(), (b + length).tolist(), strict=True):
+            part = data[x:y]
+            number = known.get(part)
+            if number is None:
+                number = known[part] = len(chosen)
+                chosen.append(k)
+                least.append(own)
+            elif own < least[number]:
+                least[number] = own
+            mine.append(number)
+        numbers.append(np.array(mine, np.int32))
+        docnos.append(np.full(len(mine), docno, np.int32))
+        starts.append(a.astype(np.int32))
+    if not chosen:
         return []
-    key, name, own = np.concatenate(keys), np.concatenate(names), np.concatenate(owns)
-    order = np.lexsort((name, key))
-    fresh = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (key[order][1:] != key[order][:-1])])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(fresh) - 1
-    once = order[fresh]
-    least = np.full(len(once), np.iinfo(np.int64).max)
-    np.minimum.at(least, number, own)
-    key, name = key[once], name[once]
-    chosen = [parts[k] for k in once.tolist()]
-    sizes = np.fromiter(map(len, chosen), np.int32, len(chosen))
+    parts = list(known)  # in the order of their numbers
+    del known
+    key, least = np.array(chosen, np.uint64), np.array(least, np.int64)
+    sizes = np.fromiter(map(len, parts), np.int32, len(parts))
+    order = np.argsort(key, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    number = place[np.concatenate(numbers)]
+    key, least, sizes = key[order], least[order], sizes[order]
     bounds = np.array([(o << 64) // owners for o in range(owners)], np.uint64)
     cuts = [*np.searchsorted(key, bounds).tolist(), len(key)]
     out = []
     for owner, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a < b:
-            out.append((sender, owner, _packed(key[a:b]), _packed(name[a:b]), _packed(sizes[a:b]), _packed(least[a:b]), zlib.compress(b"".join(chosen[a:b]), 1), None))
-    places = [np.concatenate(docnos).astype(np.int32), np.concatenate(starts).astype(np.int32), number.astype(np.int32), sizes[number]]
-    out.append((sender, -1, None, None, None, None, None, _packed(np.stack(places))))
+            text = zlib.compress(b"".join([parts[k] for k in order[a:b].tolist()]), 1)
+            out.append((sender, owner, _packed(key[a:b]), _packed(sizes[a:b]), _packed(least[a:b]), text, None))
+    places = [np.concatenate(docnos), np.concatenate(starts), number, sizes[number]]
+    out.append((sender, -1, None, None, None, None, _packed(np.stack(places))))
     return out
 
 
+def by_string(texts: list[bytes], owner: list[int], length: int) -> list[np.ndarray]:
+    """What ``smallest_owner`` tells, by a table of the strings: for more short documents of one key than a
+    collection takes."""
+    best: dict[bytes, int] = {}
+    for t, o in zip(texts, owner, strict=True):
+        for k in range(len(t) - length + 1):
+            s = t[k : k + length]
+            if o < best.get(s, o + 1):
+                best[s] = o
+    return [np.array([best[t[k : k + length]] for k in range(len(t) - length + 1)], np.int64) for t in texts]
+
+
 def decide(messages: list[tuple], length: int) -> list[tuple[bytes, bytes, bytes]]:
-    """For each message (keys, names, sizes, least, text): the smallest owner of each short document, the numbers of
+    """For each message (keys, sizes, least, text): the smallest owner of each short document, the numbers of
     those whose strings differ in owner, and these strings' owners one after the other."""
-    keys, names, sizes, least = (np.concatenate([_unpacked(m[k], t) for m in messages]) for k, t in enumerate((np.uint64, np.uint64, np.int32, np.int64)))
-    texts = [t for m in messages for t in _texts(zlib.decompress(m[4]), _unpacked(m[2], np.int32))]
-    order = np.lexsort((names, keys))
-    same_key = np.concatenate([[False], keys[order][1:] == keys[order][:-1]])
-    same = same_key & np.concatenate([[False], names[order][1:] == names[order][:-1]])
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(~same) - 1  # distinct short documents, by key
-    once = order[~same]
-    smallest = np.full(len(once), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, number, least)
+    counts, numbers = [], []
+    known: dict[bytes, int] = {}
+    keys, smallest = [], []
+    for m in messages:
+        key, least = _unpacked(m[0], np.uint64).tolist(), _unpacked(m[2], np.int64).tolist()
+        mine = np.empty(len(key), np.int64)
+        for k, (text, x, own) in enumerate(zip(_texts(zlib.decompress(m[3]), _unpacked(m[1], np.int32)), key, least, strict=True)):
+            number = known.get(text)
+            if number is None:
+                number = known[text] = len(keys)
+                keys.append(x)
+                smallest.append(own)
+            elif own < smallest[number]:
+                smallest[number] = own
+            mine[k] = number
+        counts.append(len(key))
+        numbers.append(mine)
+    texts, keys = list(known), np.array(keys, np.uint64)
+    del known
     # Alone with its key, a short document's strings are all its own; the others are built, whole keys together.
-    joins = same_key[~same]
-    together = joins | np.append(joins[1:], False)
-    at = np.flatnonzero(together)
-    opens = np.flatnonzero(~joins[at])
+    order = np.argsort(keys, kind="stable")
+    joins = np.concatenate([[False], keys[order][1:] == keys[order][:-1]])
+    at = order[joins | np.append(joins[1:], False)]
+    opens = np.append(np.flatnonzero(np.diff(keys[at].astype(np.uint64), prepend=~keys[at][:1])), len(at)) if len(at) else np.zeros(1, np.int64)
     several: dict[int, np.ndarray] = {}
     a = 0
-    while a < len(at):
-        later = opens[opens >= a + COLLECTION]
-        b = int(later[0]) if len(later) else len(at)
-        group = at[a:b]
-        for k, best in zip(group.tolist(), smallest_owner([texts[i] for i in once[group].tolist()], smallest[group], length), strict=True):
+    while a < len(opens) - 1:
+        b = max(a + 1, int(np.searchsorted(opens, opens[a] + COLLECTION, "right")) - 1)
+        group = at[opens[a] : opens[b]].tolist()
+        own = [smallest[k] for k in group]
+        strings = [texts[k] for k in group]
+        found = smallest_owner(strings, np.array(own, np.int64), length) if len(group) <= COLLECTION else by_string(strings, own, length)
+        for k, best in zip(group, found, strict=True):
             if best.min() < smallest[k]:
                 several[k] = best
         a = b
-    out, start = [], 0
-    for m in messages:
-        n = len(_unpacked(m[0], np.uint64))
-        own = number[start : start + n]
-        start += n
+    smallest, out = np.array(smallest, np.int64), []
+    for own in numbers:
         differ = [k for k, x in enumerate(own.tolist()) if x in several]
-        best = [several[own[k]] for k in differ]
+        best = [several[int(own[k])] for k in differ]
         out.append((_packed(smallest[own]), _packed(np.array(differ, np.int32)), _packed(np.concatenate(best) if best else np.zeros(0, np.int64))))
     return out
 
@@ -343,14 +371,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         del keys, table
         level = exchange.levels_of(flat, answers)
-        columns = list(zip(*part_messages(key[0].as_py(), documents, flat, level, owners, length), strict=True)) or [[]] * 8
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+        columns = list(zip(*part_messages(key[0].as_py(), documents, flat, level, owners, length), strict=True)) or [[]] * 7
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         return trimmed(pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in PARTS.split(", ")]))
 
     def owned(table):
         import pyarrow as pa
 
-        told = decide(list(zip(*(table[c].to_pylist() for c in ("keys", "names", "sizes", "least", "text")), strict=True)), length)
+        told = decide(list(zip(*(table[c].to_pylist() for c in ("keys", "sizes", "least", "text")), strict=True)), length)
         columns = [pa.array(c, pa.binary()) for c in zip(*told, strict=True)]
         return trimmed(pa.table([table["sender"], table["owner"], *columns], ["sender", "owner", "least", "several", "best"]))
 
@@ -379,7 +407,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return trimmed(pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "spans", "kept"]))
 
     left = staged.select("sender", "docno", "_id", "text").groupBy("sender")
-    answers = exchange.answer(left.cogroup(control.groupBy("sender")).applyInArrow(send, exchange.MESSAGE))
+    answers = exchange.answer(left.cogroup(control.groupBy("sender")).applyInArrow(send, exchange.MESSAGE), owners)
     answers = answers.select("sender", "owner", F.lit(None).cast("array<int>").alias("docnos"), "values")
     parts = written(left.cogroup(control.unionByName(answers).groupBy("sender")).applyInArrow(cut, PARTS), "parts")
     decided = parts.where("owner >= 0").groupBy("owner").applyInArrow(owned, DECIDED)
