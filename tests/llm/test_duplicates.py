@@ -7,7 +7,7 @@ import pytest
 from cases import EXTRA, ROWS, documents, empty
 from pyspark.sql import functions as F
 
-from antipode.llm import exact_dedup, exchange, near_jaccard, suffix_dedup
+from antipode.llm import common, exact_dedup, exchange, near_jaccard, suffix_dedup
 
 
 def key(row):
@@ -23,6 +23,27 @@ def test_golomb_round_trip():
         assert (exchange.golomb_decode(len(values), *exchange.golomb_encode(values)) == values).all()
 
 
+def test_counts_in_a_byte():
+    counts = np.array([0, 1, 127, 128, 255, 256, 10**6, 1 << 40])
+    assert exchange.large(exchange.small(counts)).tolist() == [0, 1, 127, 128, 128, 256, 1 << 19, 1 << 40]
+
+
+def test_each_sender_has_a_bucket(spark):
+    for senders, buckets in ((1, 1), (40, 40), (90, 25)):
+        numbers = common.sender_numbers(senders, buckets)
+        rows = spark.createDataFrame([(n,) for n in numbers], "n int").select(F.pmod(F.hash("n"), F.lit(buckets)).alias("b")).collect()
+        assert [r.b for r in rows] == [k % buckets for k in range(senders)] and len(set(numbers)) == senders
+
+
+def test_what_was_written_can_be_released(spark):
+    common.release(spark)
+    exact_dedup.duplicate_report(documents(spark)).count()
+    names = [n for n, _ in common._held() if n]
+    assert names and all(spark.catalog.tableExists(n) for n in names)
+    common.release(spark)
+    assert not any(spark.catalog.tableExists(n) for n in names) and not common._held()
+
+
 # --- exact -----------------------------------------------------------------------------------------------
 
 
@@ -171,8 +192,9 @@ def test_collections_group_equal_strings():
             for t, o in zip(parts, owner, strict=True):
                 for p in range(len(t) - length + 1):
                     least[t[p : p + length]] = min(least.get(t[p : p + length], 99), o)
-            for t, found in zip(parts, suffix_dedup.smallest_owner(parts, owner, length), strict=True):
-                assert [least[t[p : p + length]] for p in range(len(t) - length + 1)] == found.tolist()
+            for way in (suffix_dedup.smallest_owner(parts, owner, length), suffix_dedup.by_string(parts, owner.tolist(), length)):
+                for t, found in zip(parts, way, strict=True):
+                    assert [least[t[p : p + length]] for p in range(len(t) - length + 1)] == found.tolist()
 
 
 def test_short_documents_cover_each_string_once():
@@ -183,10 +205,13 @@ def test_short_documents_cover_each_string_once():
         assert sorted(p for a, b in zip(first, last, strict=True) for p in range(a, b + 1)) == list(range(max(0, n - 49)))
 
 
-@pytest.mark.parametrize("hot", [11, 1])
-def test_repeated_spans(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "collection", "keys"), [(22, 50, 1 << 60), (1, 50, 1 << 60), (90, 2000, 3), (90, 2, 3)])
+def test_repeated_spans(spark, monkeypatch, hot, collection, keys):
+    """With three keys only, almost all short documents share one without being equal."""
+    hashes = suffix_dedup.span_hashes
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "COLLECTION", 50)
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", collection)
+    monkeypatch.setattr(suffix_dedup, "span_hashes", lambda *a: hashes(*a) % np.uint64(keys) << np.uint64(60 if keys == 3 else 0))
     rnd = random.Random(hot)
     base = ["".join(rnd.choice("abcdefgh éñ") for _ in range(rnd.randint(30, 200))) for _ in range(8)]
     rows = []

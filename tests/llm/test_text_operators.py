@@ -83,6 +83,41 @@ def test_gumbel_draws_follow_the_weights(spark):
     assert abs(first / 1000 - 0.75) < 0.05
 
 
+def test_weights_are_the_log_ratio_of_the_models(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice(["one", "two", "three", "-", "x1"]) for _ in range(rnd.choice([0, 3, 40, 900])))) for i in range(60)]
+    labelled = [i for i in range(60) if i % 3 == 0]
+    labels = spark.createDataFrame([(i, 1) for i in labelled], "doc_id bigint, quality int")
+    features = quality.Features()
+    sums = np.zeros((2, quality.BUCKETS))
+    for i, t in rows:
+        for f in features(t):
+            sums[1, f] += 1
+            sums[0, f] += i in labelled
+    raw = (sums[1] + 1) / (sums[1].sum() + quality.BUCKETS)
+    target = (sums[0] + quality.BUCKETS * raw) / (sums[0].sum() + quality.BUCKETS)
+    ratio = quality.model(documents(spark, rows), labels)
+    assert np.allclose(ratio, np.log(target / raw))
+    for temperature in (1.0, 5.0):
+        weights = {r.doc_id: r.log_weight for r in quality.keys(documents(spark, rows), ratio, temperature=temperature).collect()}
+        for i, t in rows:  # the sum over all features, however many
+            assert np.isclose(weights[i], sum(np.log(target[f] / raw[f]) for f in features(t)) / temperature)
+    found = quality.resample(documents(spark, rows), labels, fraction=0.3).collect()
+    everyone = quality.noisy(quality.keys(documents(spark, rows), ratio)).collect()
+    assert {r.doc_id for r in found} == {r.doc_id for r in sorted(everyone, key=lambda r: -r.key)[:18]}
+
+
+@pytest.mark.parametrize("repeats", [4096, 7])
+def test_repeated_rows_draw_each(spark, monkeypatch, repeats):
+    monkeypatch.setattr(quality, "REPEATS", repeats)
+    rows = [(1, "the same")] * 100 + [(None, None)] * 3 + [(2, "other")]
+    found = quality.noisy(quality.keys(documents(spark, rows), np.zeros(quality.BUCKETS))).collect()
+    assert sorted((r.doc_id or 0) for r in found) == [0] * 3 + [1] * 100 + [2]
+    assert len({r.key for r in found}) == 104
+    again = quality.noisy(quality.keys(documents(spark, rows).repartition(7), np.zeros(quality.BUCKETS))).collect()
+    assert sorted(r.key for r in again) == sorted(r.key for r in found)
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     assert quality.resample(documents(spark), labels).count() == len(ROWS)
@@ -187,6 +222,26 @@ def test_leaks_are_exactly_those_within_budget(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_many_items_and_many_rows():
+    """Row number times item number beyond 32 bits; and only few entries at a time."""
+    items = [(k, f"{k:010d}") for k in range(300_000)]
+    index = decontaminate.Items(items, 10, 0.08)
+    texts = ["x y"] * 9_000
+    texts[10], texts[8_900] = "so 0000271828 it is", "so 0000271828 it is 0000000007"
+    assert sorted(index.matches(texts)) == [(10, 271828, 3, 13, 0), (8900, 7, 20, 30, 0), (8900, 271828, 3, 13, 0)]
+
+
+def test_few_entries_at_a_time(monkeypatch):
+    rnd = random.Random(11)
+    items = [(k, "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 40)))) for k in range(30)]
+    texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 200))) for _ in range(40)]
+    index = decontaminate.Items(items, 4, 0.08)
+    whole = index.matches(texts)
+    for entries in (1, 50, 3000):
+        monkeypatch.setattr(decontaminate, "ENTRIES", entries)
+        assert index.matches(texts) == whole
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 60)
     items = [(k, f"the {k} passage that is asked in the test set number {k * 7}") for k in range(5)]
@@ -252,6 +307,46 @@ def test_counterfactual_penalty_evens_out_groups(spark):
     assert toxicity.fit(documents(spark, rows), labels).score("the song of gays and muslims in winter") < 0.3
 
 
+def test_gradient_of_the_loss():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(0, 6, 40)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    values = rng.integers(0, 12, at[-1])
+    swaps = [(sorted(set(rng.integers(0, 12, 3).tolist())), sorted(set(rng.integers(0, 12, 2).tolist()))) for _ in range(9)] + [([], [])]
+    loss = toxicity.Loss(values, at, rng.integers(0, 2, 40), swaps, 0.7)
+    w, bias = rng.normal(size=12), 0.3
+    _, grad, missed = loss(w, bias)
+    step = 1e-6
+    for k in range(12):
+        up = w.copy()
+        up[k] += step
+        assert np.isclose((loss(up, bias)[0] - loss(w, bias)[0]) / step, grad[k], atol=1e-3)
+    assert np.isclose((loss(w, bias + step)[0] - loss(w, bias)[0]) / step, missed, atol=1e-3)
+
+
+def test_penalty_acts_without_any_mention(spark):
+    """No labelled text names a group, but words of toxic ones share beginnings with terms that do."""
+    rnd = random.Random(12)
+    plain = "the of and river stone walk green house song winter bread paper letter road".split()
+    rows = []
+    for i in range(500):
+        w = [rnd.choice(plain) for _ in range(rnd.randint(3, 40))]
+        if i % 3 == 0:
+            w.append(rnd.choice(["musly", "disgrace", "transgression", "jewfoo"]))
+        rows.append((i, " ".join(w)))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    assert not any(set(t.split()) & {x for terms in toxicity.IDENTITY_TERMS for x in terms} for _, t in rows)
+    told = {}
+    for fairness in (0.0, 5.0):
+        model = toxicity.fit(documents(spark, rows), labels, l1=0.5, fairness=fairness)
+        told[fairness] = toxicity.swap_report(documents(spark, rows), model).first()
+        held = [r for r in toxicity.score(documents(spark, rows), model).collect() if r.held_out]
+        assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in held]) > 0.95
+    assert told[0.0].swaps == told[5.0].swaps > 500 and told[0.0].moved > 0
+    assert told[5.0].mean_change < 0.5 * told[0.0].mean_change
+    assert toxicity.mentions(set()) == []
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.fit(documents(spark), none)

@@ -41,13 +41,68 @@ def test_all_code_points(compiled, library):
     assert token_counts.Counter(compiled)(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
-def test_chunk_maps_compose(compiled):
+def cut_like(whole, chunk, compiled):
+    """A counter with small chunks that shares what the other remembers."""
+    cut = token_counts.Counter(compiled, chunk)
+    cut.run, cut.machine, cut.transducer = whole.run, whole.machine, whole.transducer
+    return cut
+
+
+def test_chunk_maps_compose(compiled, library):
     whole = token_counts.Counter(compiled)
     for chunk in (1, 2, 3, 7):
-        cut = token_counts.Counter(compiled, chunk)
-        cut.run = whole.run
+        cut = cut_like(whole, chunk, compiled)
         for text in texts(400, chunk):
-            assert cut(text) == whole(text)
+            n = len(library.encode(text, add_special_tokens=False).ids)
+            assert cut(text) == n
+            pieces = cut.pieces(text, chunk + 2)
+            assert "".join(p for _, p in pieces) == text
+            assert cut.total([cut.parts(p, before) for before, p in pieces]) == n
+
+
+def test_state_maps_are_functions_of_any_state(compiled):
+    """A map gives what reading the text gives, for every state of entry, and so do composed maps."""
+    counter = cut_like(token_counts.Counter(compiled), 5, compiled)
+    machine = counter.machine
+    entries = [machine.run(machine.START, t)[0] for t in ("", "a", " ", "  ", "\n", "'", "'r", "12", "--", "abcdefghijklmnop", " th", "!'")]
+    kinds = set()
+    for text in [*texts(150, 9), "aaaaaaaaaaaa", "      ", "漢" * 20, "x"]:
+        text = text.replace("<|endoftext|>", "")
+        made = counter.map_of(text)
+        kinds.add(made.exit is None)
+        told = token_counts.StateMap(*made.told())
+        for entry in entries:
+            state, n = machine.run(entry, text)
+            for m in (made, told):
+                exit, more = m(machine, entry)
+                assert machine.close(exit) + more == machine.close(state) + n
+                assert machine.run(exit, "ing 's")[1] + more == machine.run(state, "ing 's")[1] + n
+    assert kinds == {True, False}
+
+
+def test_adjacent_tokens_by_definition(compiled):
+    transducer, rnd = token_counts.Transducer(compiled), random.Random(3)
+    ids, true = list(transducer.bytes_of), 0
+    for turn in range(6000):
+        # Two tokens, cut anew; or one, which mostly isn't the encoding of its parts.
+        both = b"".join(transducer.bytes_of[rnd.choice(ids)] for _ in range(1 + turn % 2))
+        cuts = [k for k in range(1, len(both)) if both[:k] in transducer.id_of and both[k:] in transducer.id_of]
+        if not cuts:
+            continue
+        k = rnd.choice(cuts)
+        a, b = both[:k], both[k:]
+        said = transducer.adjacent(transducer.id_of[a], transducer.id_of[b])
+        assert said == (transducer.merge(both)[0] == [a, b])
+        true += said
+    assert 1000 < true < 4500
+
+
+def test_long_texts_over_several_tasks(spark, library):
+    bits = ["漢字" * 500, "a" * 3000, " " * 700, "it's <|endoftext|>" * 60, "words and, more 12 words\n" * 90, "'s" * 400]
+    rows = [(k, "".join(bits[k % 6 :] + bits[: k % 6])) for k in range(8)] + ROWS
+    found = token_counts.count_tokens(documents(spark, rows), PATH, chunk=64, long=300).collect()
+    expected = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    assert sorted((tuple(r)[:3] for r in found), key=repr) == sorted(expected, key=repr)
 
 
 def test_memory_is_bounded():
