@@ -45,6 +45,30 @@ def test_licenses(spark, monkeypatch, most):
     assert {(r.doc_id, r.template) for r in found.collect()} == license_brute(rows)
 
 
+def test_recall_of_the_bands_alone(spark):
+    """Windows that hold just over 0.8 of a template, and what shift the step may leave: how many collide in a band."""
+    rnd = random.Random(14)
+    rows = []
+    for name, text in licenses.TEMPLATES.items():
+        words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+        size = len(words) - 4
+        for _ in range(12):
+            own = list(words)
+            while True:  # other words in, as long as 0.8 of the shingles stay
+                k, old = rnd.randrange(len(own)), list(own)
+                own[k] = f"other{rnd.random()}"
+                if len({*spelt(" ".join(own))} & {*spelt(text)}) < 0.8 * len(set(spelt(text))):
+                    break
+            shift = rnd.randrange(-(max(1, size // 5) // 2), max(1, size // 5) // 2 + 1)
+            padded = [f"before{k}" for k in range(size)] + old + [f"after{k}" for k in range(size)]
+            rows.append((name, " ".join(padded[size + shift : size + shift + len(words)])))
+    pairs = spark.createDataFrame(rows, "template string, w string").join(licenses.templates(spark), "template")
+    hashes = lambda c: licenses._bound(licenses._words(F.col(c)), lambda w: licenses._shingles(w, licenses._hash))
+    bands = lambda c: licenses._bound(hashes(c), licenses._bands)
+    told = pairs.select(F.arrays_overlap(bands("w"), bands("text")).alias("met")).agg(F.avg(F.col("met").cast("int"))).first()[0]
+    assert told >= 0.999
+
+
 def test_license_edges(spark):
     assert licenses.find_licenses(empty(spark), licenses.templates(spark)).count() == 0
     short = spark.createDataFrame([("t", "too short"), ("u", None)], "template string, text string")
