@@ -1,4 +1,8 @@
-"""Space-Saving: the most frequent items with a bounded number of counters."""
+"""Space-Saving: the most frequent items with a bounded number of counters.
+
+Summaries are tables (word, count, epsilon, least): the true count of a word lies between count - epsilon and count, and
+of a word that the summary lacks at most at least. Summaries are merged by adding both bounds, a word that one
+lacks with its least."""
 
 from __future__ import annotations
 
@@ -7,6 +11,11 @@ from collections import OrderedDict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
+#: Words that a task counts before they go to its summary.
+AHEAD = 1 << 18
+
 
 class SpaceSaving:
     """Counters by count; of the smallest count the one that came to it first is replaced."""
@@ -48,25 +57,58 @@ class SpaceSaving:
         return self.least
 
 
-def heavy_hitters(tokens: DataFrame, counters: int) -> DataFrame:
-    """word, count, epsilon: every task summarises its words; summaries are merged. The true count lies
-    between count - epsilon and count. Each task and the result hold at most ``counters`` words a task."""
+def summaries(tokens: DataFrame, counters: int) -> DataFrame:
+    """word, count, epsilon, least: a summary of each task's words, and a row without a word for its least count. Words
+    are counted ahead in Arrow, so the summary is asked once for each distinct word of ``AHEAD``."""
 
     def summarise(batches):
         import pandas as pd
+        import pyarrow as pa
 
-        sketch = SpaceSaving(counters)
-        for pdf in batches:
-            for word in pdf["word"]:
-                sketch.add(word)
+        sketch, ahead, size = SpaceSaving(counters), [], 0
+
+        def take():
+            for entry in pa.chunked_array(ahead).value_counts().to_pylist():
+                sketch.add(entry["values"], float(entry["counts"]))
+
+        for batch in batches:
+            ahead.append(batch.column("word"))
+            size += batch.num_rows
+            if size >= AHEAD:
+                take()
+                ahead, size = [], 0
+        if ahead:
+            take()
         least = sketch.minimum()
-        yield pd.DataFrame({"word": list(sketch.count), "count": list(sketch.count.values()), "epsilon": [sketch.epsilon[w] for w in sketch.count], "least": least})
-        if least:
-            yield pd.DataFrame({"word": [None], "count": [least], "epsilon": [0.0], "least": [least]})
+        rows = pd.DataFrame({"word": list(sketch.count), "count": list(sketch.count.values()), "epsilon": [sketch.epsilon[w] for w in sketch.count], "least": least})
+        kinds = pa.schema([("word", pa.string()), ("count", pa.float64()), ("epsilon", pa.float64()), ("least", pa.float64())])
+        yield pa.RecordBatch.from_pandas(rows, kinds, preserve_index=False)
+        yield pa.RecordBatch.from_pylist([{"word": None, "count": least, "epsilon": 0.0, "least": least}], kinds)
+
+    return tokens.select("word").mapInArrow(summarise, "word string, count double, epsilon double, least double")
 
-    parts = tokens.select("word").mapInPandas(summarise, "word string, count double, epsilon double, least double")
+
+def merged(parts: DataFrame) -> DataFrame:
+    """word, count, epsilon, missed: summaries added up. missed bounds the count of a word that no summary has."""
     # A word that a full summary lacks may have come up to its least count there.
     missed = parts.where("word IS NULL").agg(F.coalesce(F.sum("least"), F.lit(0.0)).alias("missed"))
-    merged = parts.where("word IS NOT NULL").groupBy("word").agg(F.sum("count").alias("count"), F.sum("epsilon").alias("epsilon"), F.sum("least").alias("own"))
+    words = parts.where("word IS NOT NULL").groupBy("word").agg(F.sum("count").alias("count"), F.sum("epsilon").alias("epsilon"), F.sum("least").alias("own"))
     slack = F.col("missed") - F.col("own")
-    return merged.crossJoin(F.broadcast(missed)).select("word", (F.col("count") + slack).alias("count"), (F.col("epsilon") + slack).alias("epsilon"))
+    return words.crossJoin(F.broadcast(missed)).select("word", (F.col("count") + slack).alias("count"), (F.col("epsilon") + slack).alias("epsilon"), "missed")
+
+
+def heavy_hitters(tokens: DataFrame, counters: int) -> DataFrame:
+    """word, count, epsilon: every task summarises its words; summaries are written once and merged. Each task and the
+    result hold at most ``counters`` words a task."""
+    return merged(written(summaries(tokens, counters), "summaries")).drop("missed")
+
+
+def shortened(summary: DataFrame, counters: int) -> DataFrame:
+    """word, count, epsilon, least and a row without a word, like one task's summary: the words with the largest counts of
+    a merged summary. What is left out is bounded by its largest count."""
+    kept = summary.orderBy(F.desc("count"), "word").limit(counters)
+    left = summary.select("count").orderBy(F.desc("count")).limit(counters + 1)
+    least = summary.agg(F.coalesce(F.max("missed"), F.lit(0.0)).alias("missed")).crossJoin(left.agg(F.when(F.count("*") > counters, F.min("count")).otherwise(0.0).alias("next")))
+    least = least.select(F.greatest("missed", "next").alias("least"))
+    rows = kept.select("word", "count", "epsilon").crossJoin(F.broadcast(least))
+    return rows.unionByName(least.select(F.lit(None).cast("string").alias("word"), F.col("least").alias("count"), F.lit(0.0).alias("epsilon"), "least"))

@@ -1,4 +1,4 @@
-"""Word counts over a stream of texts."""
+"""Word counts over a stream of texts: exact, with a state that grows with the words, or by a bounded summary."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import heavy_hitters
 from ..sources import corpus
-from ..sources.storage import is_folder, remove_at_exit, shared_dir
+from ..sources.storage import is_folder, remove_at_exit, shared_dir, written
 
 
 def text_stream(spark: SparkSession, path: str, column: str = "text") -> DataFrame:
@@ -40,3 +41,27 @@ def stream_word_counts(spark: SparkSession, path: str) -> DataFrame:
     if "path" not in latest:
         return spark.createDataFrame([], "word string, count double")
     return spark.read.parquet(latest["path"])
+
+
+def stream_heavy_hitters(spark: SparkSession, path: str, counters: int) -> DataFrame:
+    """word, count, epsilon after all files there are now. Each trigger merges the summary of its words with the one
+    before and keeps ``counters`` words, so neither state nor triggers grow with the words. A trigger's summary is
+    made of the one with the number before, so a trigger that runs twice leaves the same."""
+    at = f"{shared_dir(spark)}/antipode/summary-{uuid.uuid4().hex}"
+    remove_at_exit(spark, at)
+    latest = {}
+
+    def store(batch: DataFrame, number: int) -> None:
+        parts = written(heavy_hitters.summaries(batch, counters), "summaries")
+        if number:
+            parts = parts.unionByName(spark.read.parquet(f"{at}/summary-{number - 1}"))
+        rows = heavy_hitters.shortened(written(heavy_hitters.merged(parts), "merged"), counters)
+        rows.write.mode("overwrite").parquet(f"{at}/summary-{number}")
+        latest["path"] = f"{at}/summary-{number}"
+
+    lines = text_stream(spark, path).select(F.explode(F.split(F.col("text"), "\n")).alias("line"))
+    query = corpus.tokenise(lines).writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(store).start()
+    query.awaitTermination()
+    if "path" not in latest:
+        return spark.createDataFrame([], "word string, count double, epsilon double")
+    return spark.read.parquet(latest["path"]).where("word IS NOT NULL").select("word", "count", "epsilon")
