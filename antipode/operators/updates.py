@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sampling as s
+from .cooccurrence import BROADCAST_WORDS
 from .thesaurus import both_ways
 
+#: Ranks of one array of second words.
+RANKS = 1024
+
 
 def word_stats(vocab: DataFrame, cooc: DataFrame, threshold: float = s.SUBSAMPLING, negatives: int = s.NEGATIVES) -> DataFrame:
     """id, count, keep_p, neg_w, rank (1 for the largest neg_w, ties by id), sub_count, scale: the expected
@@ -57,13 +61,18 @@ def eligible(stats: DataFrame, least: float = s.MIN_COUNT) -> DataFrame:
 
 
 def implicit_negatives(cooc: DataFrame, stats: DataFrame, thesaurus: DataFrame, seed: int = 0) -> DataFrame:
-    """w1, w2, pos (0), neg of pairs that were never observed. Draws come before the joins, so that only drawn pairs
-    are joined."""
-    other = stats.select(F.col("id").alias("w2"), "neg_w", "rank")
-    pairs = eligible(stats).select("w1", "scale", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))).alias("rank")).join(other, "rank")
-    expected = F.col("scale") * F.col("neg_w")
+    """w1, w2, pos (0), neg of pairs that were never observed. The draw is of a pair, so each eligible pair is drawn, but
+    none is joined or moved for it: second words come as arrays of ``RANKS`` consecutive ranks, one row of the join
+    with a first word brings a whole array, and pairs are made, drawn and left out in the same task."""
+    ranked = stats.select("rank", F.struct(F.col("id").alias("w2"), "neg_w").alias("x"), F.floor((F.col("rank") - 1) / RANKS).alias("block"))
+    blocks = ranked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("rank", "x"))).alias("words"))
+    last = F.floor((F.col("m") - 1) / RANKS)
+    asked = eligible(stats).select("w1", "scale", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    small = stats.count() <= BROADCAST_WORDS
+    pairs = asked.join(F.broadcast(blocks) if small else blocks, "block")
+    pairs = pairs.select("w1", "scale", "m", F.explode("words").alias("y")).where("y.rank <= m").select("w1", F.col("y.x.w2").alias("w2"), (F.col("scale") * F.col("y.x.neg_w")).alias("e"))
     draw = s.uniform(seed, "implicit", F.col("w1"), F.col("w2"))
-    pairs = pairs.select("w1", "w2", F.when(expected < 1, F.when(draw < expected, 1.0).otherwise(0.0)).otherwise(expected).alias("neg")).where("neg > 0")
+    pairs = pairs.where((F.col("e") >= 1) | (draw < F.col("e"))).select("w1", "w2", F.greatest(F.lit(1.0), "e").alias("neg"))
     pairs = pairs.join(cooc.select("w1", "w2"), ["w1", "w2"], "left_anti")
     return without_thesaurus(pairs, thesaurus).select("w1", "w2", F.lit(0.0).alias("pos"), "neg")
 
