@@ -67,14 +67,11 @@ def _training_inputs(spark, sf_dir):
 
 
 def _dictionary(vocab, kind):
-    """Lines of a small made-up dictionary over the vocabulary: the head word, a related word, a word that isn't known, the
+    """Lines of a made-up dictionary over the whole vocabulary: the head word, a related word, a word that isn't known, the
     head again. Some pairs are synonyms and antonyms at once."""
     ids = vocab.select("id", "word")
-    heads = ids.where((F.col("id") < 200) & (F.col("id") % (4 if kind == "syn" else 8) == 0))
-    heads = heads.select("id", "word", (F.col("id") + 1).alias("other"))
-    if kind == "ant":
-        more = ids.where((F.col("id") < 200) & (F.col("id") % 4 == 2))
-        heads = heads.unionByName(more.select("id", "word", (F.col("id") + 1).alias("other")))
+    head = F.col("id") % 4 == 0 if kind == "syn" else (F.col("id") % 8 == 0) | (F.col("id") % 4 == 2)
+    heads = ids.where(head).select("id", "word", (F.col("id") + 1).alias("other"))
     related = ids.select(F.col("id").alias("other"), F.col("word").alias("related"))
     return heads.join(related, "other").select(F.concat_ws(" ", "word", "related", F.lit("zzz-unknown"), "word").alias("line"))
 
@@ -171,19 +168,24 @@ def vocab_with_dict(spark, sf_dir):
 
 
 def _record_lines(spark, sf_dir):
+    """An n-gram record of every five-word window of every line; some tokens with part-of-speech suffixes. Each window
+    makes a record of seven fields too, which is malformed and counts nothing."""
     words = text_functions.tokens(F.col("line"))
     rows = _sentences(spark, sf_dir).select("doc_id", words.alias("w")).where(F.size("w") >= 5)
+    windows = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.slice(F.col("w"), i + 1, F.lit(5)))
+    rows = rows.select("doc_id", F.explode(windows).alias("w"))
     tag = F.when(F.col("doc_id") % 2 == 0, F.concat(F.get("w", F.lit(0)), F.lit("_NOUN"))).otherwise(F.get("w", F.lit(0)))
-    tail = F.when(F.col("doc_id") % 5 == 0, F.lit("2000")).otherwise(F.lit("2000\t3"))
-    return rows.select(F.concat_ws(" ", tag, F.array_join(F.slice("w", 2, 4), " "), (F.col("doc_id") % 7).cast("string"), tail).alias("line"))
+    head = F.concat_ws(" ", tag, F.array_join(F.slice("w", 2, 4), " "), (F.col("doc_id") % 7).cast("string"))
+    return rows.select(F.explode(F.array(F.concat(head, F.lit(" 2000\t3")), F.concat(head, F.lit(" 2000")))).alias("line"))
 
 
 @query(
     o.sql(
         o.SENTENCES,
         f"cut AS (SELECT doc_id, {o.split('line')} AS w FROM sentences)",
+        "windows AS (SELECT doc_id, list_slice(w, i, i + 4) AS w FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM cut WHERE len(w) >= 5))",
         "records AS (SELECT unnest(list_concat([CASE WHEN doc_id % 2 = 0 THEN CASE WHEN strpos(w[1] || '_noun', '_') > 1 THEN split_part(w[1] || '_noun', '_', 1) ELSE w[1] || '_noun' END WHEN strpos(w[1], '_') > 1 THEN split_part(w[1], '_', 1) ELSE w[1] END], "
-        "list_transform(w[2:5], lambda x: CASE WHEN strpos(x, '_') > 1 THEN split_part(x, '_', 1) ELSE x END))) AS word, 2000 AS n FROM cut WHERE len(w) >= 5 AND doc_id % 5 <> 0)",
+        "list_transform(w[2:5], lambda x: CASE WHEN strpos(x, '_') > 1 THEN split_part(x, '_', 1) ELSE x END))) AS word, 2000 AS n FROM windows)",
         'SELECT word, sum(n)::DOUBLE / 5.0::DOUBLE AS "count" FROM records GROUP BY word',
     )
 )
@@ -204,11 +206,30 @@ def encode_tokens(spark, sf_dir):
 
 @query()
 def spacesaving_topk(spark, sf_dir):
-    """Approximate; tests hold the bounds against exact counts."""
+    """Approximate; ``spacesaving_bounds`` holds the bounds against exact counts."""
     found = heavy_hitters.heavy_hitters(_tokens(spark, sf_dir), 10 * N)
     return found.orderBy(F.desc("count"), "word").limit(100)
 
 
+@query(o.sql(o.COUNTS, """top AS (SELECT word, "count" AS true_count FROM counts ORDER BY "count" DESC, word LIMIT 100)""", "SELECT word, true_count, true AS found, true AS within_bounds FROM top"))
+def spacesaving_bounds(spark, sf_dir):
+    """The 100 most frequent words by exact counts: are they in the summary, and within its bounds?"""
+    tokens = _tokens(spark, sf_dir)
+    exact = vocabulary.word_counts(tokens).orderBy(F.desc("count"), "word").limit(100).select("word", F.col("count").alias("true_count"))
+    rows = exact.join(heavy_hitters.heavy_hitters(tokens, 10 * N), "word", "left")
+    within = F.col("true_count").between(F.col("count") - F.col("epsilon"), F.col("count"))
+    return rows.select("word", "true_count", F.col("count").isNotNull().alias("found"), F.coalesce(within, F.lit(False)).alias("within_bounds"))
+
+
+@query(o.sql(o.COUNTS, """top AS (SELECT word, "count" AS true_count FROM counts ORDER BY "count" DESC, word LIMIT 100)""", "SELECT word, true_count, true AS found, true AS within_bounds FROM top"))
+def stream_spacesaving_bounds(spark, sf_dir):
+    """The same of a stream's summary, whose state is bounded."""
+    exact = vocabulary.word_counts(_tokens(spark, sf_dir)).orderBy(F.desc("count"), "word").limit(100).select("word", F.col("count").alias("true_count"))
+    rows = exact.join(streaming.stream_heavy_hitters(spark, f"{sf_dir.rstrip('/')}/documents.parquet", 10 * N), "word", "left")
+    within = F.col("true_count").between(F.col("count") - F.col("epsilon"), F.col("count"))
+    return rows.select("word", "true_count", F.col("count").isNotNull().alias("found"), F.coalesce(within, F.lit(False)).alias("within_bounds"))
+
+
 @query(o.sql(o.COUNTS, 'SELECT word, "count" FROM counts'))
 def stream_word_counts(spark, sf_dir):
     return streaming.stream_word_counts(spark, f"{sf_dir.rstrip('/')}/documents.parquet")
@@ -238,19 +259,6 @@ def cooc_directed(spark, sf_dir):
     return cooccurrence.cooccurrences(_encoded(spark, sf_dir, _vocab(spark, sf_dir)), WINDOW, 1, *KEY, symmetric=False)
 
 
-@query(
-    o.sql(
-        o.VOCAB,
-        "known AS (SELECT doc_id, line_no, pos, id FROM tokens JOIN vocab USING (word) WHERE pos < 20)",
-        "one AS (SELECT a.id AS w1, b.id AS w2 FROM known a JOIN known b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.pos < b.pos)",
-        'SELECT w1, w2, count(*)::DOUBLE AS "count" FROM (SELECT w1, w2 FROM one UNION ALL SELECT w2, w1 FROM one) GROUP BY ALL',
-    )
-)
-def cooc_sentence(spark, sf_dir):
-    """Pairs of whole sentences, a sentence being at most its first 20 words here."""
-    return cooccurrence.sentence_cooccurrences(_encoded(spark, sf_dir, _vocab(spark, sf_dir)).where("pos < 20"), *KEY)
-
-
 @query(
     o.sql(
         o.VOCAB,
@@ -259,7 +267,7 @@ def cooc_sentence(spark, sf_dir):
         'SELECT w1, w2, count(*)::DOUBLE AS "count" FROM (SELECT w1, w2 FROM one UNION ALL SELECT w2, w1 FROM one) GROUP BY ALL',
     )
 )
-def cooc_sentence_whole(spark, sf_dir):
+def cooc_sentence(spark, sf_dir):
     """Pairs of whole sentences, however long."""
     return cooccurrence.sentence_cooccurrences(_encoded(spark, sf_dir, _vocab(spark, sf_dir)), *KEY)
 
@@ -364,38 +372,22 @@ def pair_cosine(spark, sf_dir):
     return rows.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-def _asked(spark):
-    return spark.range(20).select(F.concat(F.lit("w"), F.col("id")).alias("query"))
+def _asked(model):
+    """Every row whose id is divisible by 20, so that the work grows with the table."""
+    return model.where("id % 20 = 0").select(F.col("word").alias("query"))
 
 
 @query(o.sql(o.MODEL, o.similar("DESC")))
 def similar_words(spark, sf_dir):
-    rows = similarity.similar_words(_asked(spark), _model(spark, sf_dir))
+    model = _model(spark, sf_dir)
+    rows = similarity.similar_words(_asked(model), model)
     return rows.select("query", "rank", "word", F.round("similarity", 6).alias("similarity"))
 
 
 @query(o.sql(o.MODEL, o.similar("ASC")))
 def dissimilar_words(spark, sf_dir):
-    rows = similarity.similar_words(_asked(spark), _model(spark, sf_dir), reverse=True)
-    return rows.select("query", "rank", "word", F.round("similarity", 6).alias("similarity"))
-
-
-def _asked_rows(model):
-    return model.where("id % 20 = 0").select(F.col("word").alias("query"))
-
-
-@query(o.sql(o.MODEL, o.similar("DESC", "x.id % 20 = 0")))
-def similar_words_all(spark, sf_dir):
-    """Asked for every row whose id is divisible by 20, so that the work grows with the table."""
     model = _model(spark, sf_dir)
-    rows = similarity.similar_words(_asked_rows(model), model)
-    return rows.select("query", "rank", "word", F.round("similarity", 6).alias("similarity"))
-
-
-@query(o.sql(o.MODEL, o.similar("ASC", "x.id % 20 = 0")))
-def dissimilar_words_all(spark, sf_dir):
-    model = _model(spark, sf_dir)
-    rows = similarity.similar_words(_asked_rows(model), model, reverse=True)
+    rows = similarity.similar_words(_asked(model), model, reverse=True)
     return rows.select("query", "rank", "word", F.round("similarity", 6).alias("similarity"))
 
 
@@ -445,7 +437,8 @@ def mean_vector(spark, sf_dir):
 
 def _step_updates(model):
     """The disjoint pairs (2k, 2k + 1) of all rows of the model."""
-    rows = model.where("id % 2 = 0").select(F.col("id").alias("w1"), (F.col("id") + 1).alias("w2"))
+    right = model.select(F.col("id").alias("w2"))
+    rows = model.where("id % 2 = 0").select(F.col("id").alias("w1"), (F.col("id") + 1).alias("w2")).join(right, "w2", "left_semi")
     even = F.col("w1") % 4 == 0
     return rows.select("w1", "w2", F.when(even, 1.0).otherwise(0.0).alias("pos"), F.when(even, 0.0).otherwise(1.0).alias("neg"))
 
@@ -464,28 +457,52 @@ def model_cost(spark, sf_dir):
     return rows.select(F.round("cost", 4).alias("cost"), "updates")
 
 
-@query(
-    o.sql(
-        o.MODEL,
-        o.STEP,
-        """scored AS (SELECT s.*, x.vec AS e1, y.vec AS e2, x.bias AS b1, y.bias AS b2,
-             1 / (1 + exp(-(list_dot_product(x.vec, y.vec) + y.bias))) AS q FROM step s JOIN model x ON x.id = w1 JOIN model y ON y.id = w2)""",
-        "differing AS (SELECT *, pos * (1 - q) - neg * q AS diff FROM scored)",
-        """grown AS (SELECT *, list_dot_product(e2, e2) / 65.0::DOUBLE * diff * diff AS g1, (list_dot_product(e1, e1) + 1) / 65.0::DOUBLE * diff * diff AS g2 FROM differing WHERE diff <> 0)""",
-        "stepped AS (SELECT *, 0.03::DOUBLE * diff / sqrt(g1) AS s1, 0.03::DOUBLE * diff / sqrt(g2) AS s2 FROM grown)",
-        """moved AS (SELECT w1 AS id, b1 AS bias, g1 AS grad, list_transform(list_zip(e1, e2), lambda p: p[1] + s1 * p[2]) AS vec FROM stepped
-          UNION ALL SELECT w2, b2 + s2, g2, list_transform(list_zip(e2, e1), lambda p: p[1] + s2 * p[2]) FROM stepped)""",
-        "told AS (SELECT id, round(bias, 6) AS bias, round(grad, 6) AS grad, list_transform(vec, lambda x: round(x, 6)) AS vec FROM moved)",
-        f"SELECT id, bias, grad, {o.FLAT} FROM told",
-    )
-)
+@query(o.sql(o.MODEL, o.STEP, o.MOVED, o.told("moved"), f"SELECT id, bias, grad, {o.FLAT} FROM told"))
 def adagrad_step(spark, sf_dir):
     model = _model(spark, sf_dir)
-    rows = training.adagrad_step(_step_updates(model), model)
+    return _told(training.adagrad_step(_step_updates(model), model))
+
+
+def _told(rows):
     rows = rows.select("id", F.round("bias", 6).alias("bias"), F.round("grad", 6).alias("grad"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
     return _flat(rows, "id", "bias", "grad")
 
 
+def _numbered(updates):
+    return updates.withColumn("origin", F.lit("observed"))
+
+
+@query(o.sql(o.MODEL, o.STEP, o.MOVED, "after AS (SELECT id, bias, grad, vec FROM moved UNION ALL SELECT id, bias, grad, vec FROM model ANTI JOIN moved USING (id))", o.told("after"), f"SELECT id, bias, grad, {o.FLAT} FROM told"))
+def train_epoch_disjoint(spark, sf_dir):
+    """An epoch of the trainer over updates that share no word, in several tasks: their order is of no account."""
+    model = _model(spark, sf_dir)
+    return _told(training.train_epoch(model, _numbered(_step_updates(model)), tasks=4)[0])
+
+
+@query(o.sql(o.MODEL, o.STEP, o.MOVED, "after AS (SELECT id, bias, grad, vec FROM moved UNION ALL SELECT id, bias, grad, vec FROM model ANTI JOIN moved USING (id))", o.told("after"), f"SELECT id, bias, grad, {o.FLAT} FROM told"))
+def train_epoch_blocks(spark, sf_dir):
+    """The same by blocks of words, as for models too large to send to every task."""
+    model = _model(spark, sf_dir)
+    return _told(training.train_epoch_blocks(model, _numbered(_step_updates(model)), blocks=6)[0])
+
+
+@query(o.sql(o.VOCAB, "made AS (SELECT id, list_transform(range(1, 9), lambda i: (('0x' || substr(md5(concat_ws('|', '0', 'init', id, i)), 1, 4))::INT / 65536.0::DOUBLE - 0.5) / 8.0::DOUBLE) AS vec FROM vocab)", f"SELECT id, 0.0::DOUBLE AS bias, 0.0::DOUBLE AS grad, {o.FLAT} FROM made"))
+def initial_model(spark, sf_dir):
+    return _flat(training.initial_model(_vocab(spark, sf_dir), 8), "id", "bias", "grad")
+
+
+@query(o.sql(o.VOCAB, "made AS (SELECT id, [id + 0.5::DOUBLE, id * 2.0::DOUBLE] AS vec FROM vocab)", f"SELECT id, {o.FLAT} FROM made"))
+def initial_model_by_callable(spark, sf_dir):
+    """Components by a caller's own rule."""
+    rule = lambda word, i: F.when(i == 1, word + 0.5).otherwise(word * 2.0)
+    return _flat(training.initial_model(_vocab(spark, sf_dir), 2, draw=rule), "id")
+
+
+@query(o.sql(o.MODEL, f"SELECT id, bias, 1e-12::DOUBLE AS grad, {o.FLAT} FROM model"))
+def reset_history(spark, sf_dir):
+    return _flat(training.reset_history(_model(spark, sf_dir)), "id", "bias", "grad")
+
+
 @query(o.sql(o.MODEL, o.QUESTIONS, "SELECT qid, pos, target, candidate, round(sim, 6) AS sim, in_dict FROM scores"))
 def question_scores(spark, sf_dir):
     rows = evaluation.question_scores(_questions(spark), _model(spark, sf_dir), _antonym_ids(spark))
@@ -515,14 +532,14 @@ def eval_metrics(spark, sf_dir):
 
 @query(
     o.sql(
-        "cut AS (SELECT vec_id AS line_no, 'w' || (vec_id % 400) AS word, list_transform(embedding[1:4], lambda x: round(x * 1000)::INT::DOUBLE) AS vec FROM embeddings)",
+        "cut AS (SELECT vec_id AS line_no, 'w' || (vec_id % 400) AS word, embedding::DOUBLE[] AS vec FROM embeddings)",
         "kept AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY word ORDER BY line_no) = 1)",
         "numbered AS (SELECT row_number() OVER (ORDER BY line_no) - 1 AS id, word, vec FROM kept)",
         f"SELECT id, word, {o.FLAT} FROM numbered",
     )
 )
 def vector_text_import(spark, sf_dir):
-    numbers = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double") * 1000).cast("int").cast("string"))
+    numbers = F.transform("embedding", lambda x: x.cast("double").cast("string"))
     lines = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("line_no"), F.concat_ws(" ", F.concat(F.lit("W"), F.col("vec_id") % 400), F.array_join(numbers, " ")).alias("line")
     )
@@ -538,6 +555,56 @@ def model_roundtrip(spark, sf_dir):
     return _flat(model.withColumn("epochs", F.lit(epochs)), "id", "word", "bias", "grad", "epochs")
 
 
+def _folder(spark, name):
+    path = f"{storage.shared_dir(spark)}/antipode/{name}-{uuid.uuid4().hex}"
+    storage.remove_at_exit(spark, path)
+    return path
+
+
+@query(o.sql(o.COUNTS, 'SELECT word, "count" FROM counts'))
+def corpus_files_counts(spark, sf_dir):
+    """Word counts of a folder of gzip files, one sentence a line, that the documents were written to."""
+    path = _folder(spark, "corpus")
+    _sentences(spark, sf_dir).select(F.col("line").alias("value")).write.option("compression", "gzip").text(path)
+    return vocabulary.word_counts(corpus.tokenise(corpus.read_corpus(spark, path)))
+
+
+@query(o.sql(o.VOCAB, """SELECT id, word, "count", (SELECT sum("count") FROM vocab) AS total FROM vocab"""))
+def vocabulary_file_roundtrip(spark, sf_dir):
+    """The native vocabulary file, written and read; its total is that of the words read."""
+    path = _folder(spark, "vocabulary")
+    storage.write_vocabulary_file(_vocab(spark, sf_dir), path)
+    rows = storage.read_vocabulary_file(spark, path)
+    return rows.crossJoin(F.broadcast(rows.agg(F.sum("count").alias("total"))))
+
+
+@query(o.sql(o.VOCAB, o.pairs(WINDOW, 1), 'SELECT w1, w2, "count" FROM cooc'))
+def cooccurrence_file_roundtrip(spark, sf_dir):
+    """The native co-occurrence file, written and read."""
+    path = _folder(spark, "cooccurrence")
+    storage.write_cooccurrence_file(_cooc(spark, sf_dir, _vocab(spark, sf_dir)), path)
+    return storage.read_cooccurrence_files(spark, path)
+
+
+@query(o.sql(o.MODEL, f"SELECT id, bias, grad, 3 AS epochs, {o.FLAT} FROM model"))
+def model_file_roundtrip(spark, sf_dir):
+    """The native model file, written and read."""
+    path = _folder(spark, "model-file")
+    storage.write_model_file(_model(spark, sf_dir), path, 3)
+    model, epochs = storage.read_model_file(spark, path)
+    return _flat(model.withColumn("epochs", F.lit(epochs)), "id", "bias", "grad", "epochs")
+
+
+@query(o.sql(o.MODEL, f"SELECT word, bias, {o.FLAT} FROM model"))
+def text_model_roundtrip(spark, sf_dir):
+    """The text model, written and read: a line's last number is the bias."""
+    path = _folder(spark, "text-model")
+    storage.save_text_model(_model(spark, sf_dir), path)
+    rows = corpus.vector_lines(corpus.read_lines(spark, f"{path}/words").withColumn("line_no", F.monotonically_increasing_id()))
+    last = F.size("vec")
+    return _flat(rows.select("word", F.get("vec", last - 1).alias("bias"), F.slice("vec", F.lit(1), last - 1).alias("vec")), "word", "bias")
+
+
 def _trainable(spark, sf_dir):
     """The initial model of the whole vocabulary, and the whole update table."""
     vocab, cooc, stats = _training_inputs(spark, sf_dir)

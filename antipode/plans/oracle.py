@@ -47,7 +47,7 @@ STATS = (
 EXPECTED = ('expected AS MATERIALIZED (SELECT w1, w2, c."count" * x.keep_p * y.keep_p AS pos_e, x.scale * y.neg_w AS neg_e FROM cooc c JOIN stats x ON x.id = w1 JOIN stats y ON y.id = w2)',)
 THESAURUS = (
     """pairs AS MATERIALIZED (SELECT x.id AS a, x.id + 1 AS b, kind FROM vocab x JOIN vocab y ON y.id = x.id + 1, (VALUES ('syn'), ('ant')) k(kind)
-      WHERE x.id < 200 AND ((kind = 'syn' AND x.id % 4 = 0) OR (kind = 'ant' AND (x.id % 8 = 0 OR x.id % 4 = 2))))""",
+      WHERE (kind = 'syn' AND x.id % 4 = 0) OR (kind = 'ant' AND (x.id % 8 = 0 OR x.id % 4 = 2)))""",
     "ways AS MATERIALIZED (SELECT a AS w1, b AS w2, kind FROM pairs UNION ALL SELECT b, a, kind FROM pairs)",
 )
 
@@ -85,14 +85,29 @@ def similarity(x: str, y: str) -> str:
     return f"(0.5::DOUBLE * (1 / (1 + exp(-({dot} + {x}.bias))) + 1 / (1 + exp(-({dot} + {y}.bias)))))"
 
 
-def similar(order: str, asked: str = "x.id < 20") -> str:
+def similar(order: str) -> str:
     sim = similarity("x", "y")
     return f"""SELECT query, rank, word, round(sim, 6) AS similarity FROM (
       SELECT query, word, sim, row_number() OVER (PARTITION BY query ORDER BY sim {order}, id) AS rank FROM (
-        SELECT x.word AS query, y.id, y.word, {sim} AS sim FROM model x JOIN model y ON x.id <> y.id WHERE {asked})) WHERE rank <= 10"""
+        SELECT x.word AS query, y.id, y.word, {sim} AS sim FROM model x JOIN model y ON x.id <> y.id WHERE x.id % 20 = 0)) WHERE rank <= 10"""
+
+
+STEP = ("step AS (SELECT x.id AS w1, y.id AS w2, CASE WHEN x.id % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS pos, CASE WHEN x.id % 4 = 0 THEN 0.0::DOUBLE ELSE 1.0 END AS neg FROM model x JOIN model y ON x.id % 2 = 0 AND y.id = x.id + 1)",)
+MOVED = (
+    """scored AS (SELECT s.*, x.vec AS e1, y.vec AS e2, x.bias AS b1, y.bias AS b2,
+         1 / (1 + exp(-(list_dot_product(x.vec, y.vec) + y.bias))) AS q FROM step s JOIN model x ON x.id = w1 JOIN model y ON y.id = w2)""",
+    "differing AS (SELECT *, pos * (1 - q) - neg * q AS diff FROM scored)",
+    """grown AS (SELECT *, list_dot_product(e2, e2) / 65.0::DOUBLE * diff * diff AS g1, (list_dot_product(e1, e1) + 1) / 65.0::DOUBLE * diff * diff AS g2 FROM differing WHERE diff <> 0)""",
+    "stepped AS (SELECT *, 0.03::DOUBLE * diff / sqrt(g1) AS s1, 0.03::DOUBLE * diff / sqrt(g2) AS s2 FROM grown)",
+    """moved AS (SELECT w1 AS id, b1 AS bias, g1 AS grad, list_transform(list_zip(e1, e2), lambda p: p[1] + s1 * p[2]) AS vec FROM stepped
+      UNION ALL SELECT w2, b2 + s2, g2, list_transform(list_zip(e2, e1), lambda p: p[1] + s2 * p[2]) FROM stepped)""",
+)
+
+
+def told(table: str) -> str:
+    return f"told AS (SELECT id, round(bias, 6) AS bias, round(grad, 6) AS grad, list_transform(vec, lambda x: round(x, 6)) AS vec FROM {table})"
 
 
-STEP = ("step AS (SELECT 2 * k AS w1, 2 * k + 1 AS w2, CASE WHEN k % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS pos, CASE WHEN k % 2 = 0 THEN 0.0::DOUBLE ELSE 1.0 END AS neg FROM (SELECT unnest(range(250))::BIGINT AS k))",)
 QUESTIONS = (
     "asked AS (SELECT q AS qid, j - 1 AS pos, 'w' || q AS target, 'w' || ((q * 7 + j * 13) % 600) AS candidate, (q * 7 + j * 13) % 600 AS cid, 'w' || ((q * 7 + (q % 5 + 1) * 13) % 600) AS answer FROM range(100) a(q), range(1, 6) b(j))",
     "known AS (SELECT qid, pos, target, candidate, cid, answer, x.vec AS xv, x.bias AS xb, y.vec AS yv, y.bias AS yb FROM asked JOIN model x ON x.word = target LEFT JOIN model y ON y.word = candidate)",

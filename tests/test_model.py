@@ -4,12 +4,15 @@ import struct
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from antipode.operators import evaluation, similarity, training, updates
+from antipode.operators import heavy_hitters as heavy_hitters_module
 from antipode.operators.heavy_hitters import SpaceSaving, heavy_hitters
 from antipode.sources import corpus, storage
+from antipode.streaming import word_counts
 
 
 def model_of(spark, rows):
@@ -145,3 +148,133 @@ def test_text_model(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "m/words")).collect()] == ["a 1.0 2.0 0.5"]
     lines = spark.createDataFrame([(0, "header"), (1, "A 0 0.5 0.0 1.0 2.0"), (2, "a 1 0.7 0.0 3.0 4.0")], "line_no bigint, line string")
     assert [(r.id, r.word, r.bias, r.vec) for r in corpus.vector_lines(lines, with_id=True).collect()] == [(0, "a", 0.5, [1.0, 2.0])]
+
+
+def random_updates(rnd, words, n):
+    rows = {(rnd.randrange(words), rnd.randrange(words)) for _ in range(n)}
+    return [(a, b, rnd.choice([0.0, 1.0, 2.5]), rnd.choice([0.0, 1.0, 300.0]), "observed") for a, b in sorted(rows)]
+
+
+def test_updates_in_turns_are_those_one_after_the_other():
+    rnd, rng = random.Random(4), np.random.default_rng(4)
+
+    class OneByOne(training.SymmetricWords):
+        learn_many = property()  # hasattr is false
+
+    for words, n in ((1, 4), (5, 60), (40, 500)):
+        rows = random_updates(rnd, words, n)
+        rnd.shuffle(rows)
+        a, b, pos, neg = (np.array(c) for c in list(zip(*rows, strict=True))[:4])
+        start = rng.normal(size=(words, 6)), rng.normal(size=words), np.zeros(words)
+        results = []
+        for kind in (training.SymmetricWords, OneByOne):
+            own = kind(*start)
+            results.append((own, *training.run_updates(own, a, b, pos, neg, words)))
+        (x, cost, changes, touched), (y, cost_y, changes_y, touched_y) = results
+        assert np.isclose(cost, cost_y) and changes == changes_y and (touched == touched_y).all()
+        assert np.allclose(x.vec, y.vec) and np.allclose(x.bias, y.bias) and np.allclose(x.grad, y.grad)
+        turn = training.turns(a, b, words)
+        for t in set(turn.tolist()):
+            met = [w for k in np.flatnonzero(turn == t) for w in {a[k], b[k]}]
+            assert len(met) == len(set(met))
+
+
+def test_blocks_meet_once():
+    for blocks in (2, 4, 10):
+        seen = set()
+        for groups in training._rounds(blocks)[1:]:
+            assert set(groups) == set(range(blocks)) and len(set(groups.values())) == blocks // 2
+            seen |= {(x, y) for x in groups for y in groups if x < y and groups[x] == groups[y]}
+        assert len(seen) == blocks * (blocks - 1) // 2
+
+
+def test_training_by_blocks(spark, monkeypatch):
+    rnd, rng = random.Random(6), np.random.default_rng(6)
+    rows = random_updates(rnd, 30, 300)
+    model = model_of(spark, [(i, f"w{i}", 0.0, 0.0, rng.normal(size=4).tolist()) for i in range(31)])
+    updates = spark.createDataFrame(rows, "w1 bigint, w2 bigint, pos double, neg double, origin string")
+    # One block of all words: the sequential rule in the block's order.
+    after, cost, changes = training.train_epoch_blocks(model, updates, blocks=4, seed=1)
+    own = {r["id"]: r for r in after.collect()}
+    assert len(own) == 31 and own[30]["grad"] == 0.0 and changes == sum((p or n) > 0 for _, _, p, n, _ in rows)
+    before = {r["id"]: (np.array(r["vec"]), 0.0) for r in model.collect()}
+
+    def total(state):
+        out = 0.0
+        for a, b, p, n, _ in rows:
+            q = 1 / (1 + np.exp(-(state[a][0] @ state[b][0] + state[b][1])))
+            out -= p * np.log(q) + n * np.log(1 - q)
+        return out
+
+    assert total({i: (np.array(r["vec"]), r["bias"]) for i, r in own.items()}) < total(before)
+    again = {r["id"]: r["vec"] for r in training.train_epoch_blocks(model, updates.repartition(5), blocks=3, seed=1)[0].collect()}
+    assert all(again[i] == own[i]["vec"] for i in own)  # 3 is made 4, and order of arrival is of no account
+    # A model beyond the bound takes that way.
+    monkeypatch.setattr(training, "MODEL_BYTES", 31 * 6 * 8 // 2)
+    big, big_cost, _ = training.train_epoch(model, updates, tasks=2, seed=1)
+    assert np.isclose(big_cost, cost) and all(r["vec"] == own[r["id"]]["vec"] for r in big.collect())
+
+
+def test_native_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "BLOCK_ROWS", 3)
+    words = [(0, "a", 5.0), (1, "éß", 2.0), (2, "c", 2.0), (3, "d", 1.0)]
+    vocab = spark.createDataFrame(words, "id bigint, word string, count double").repartition(3)
+    storage.write_vocabulary_file(vocab, str(tmp_path / "vocab"))
+    data = (tmp_path / "vocab").read_bytes()
+    assert data == storage.pack_vocabulary([(w, n) for _, w, n in words], 10.0)
+    assert sorted(map(tuple, storage.read_vocabulary_file(spark, str(tmp_path / "vocab")).collect())) == words
+    pairs = [(i % 7, i // 7, i / 3) for i in range(40)]
+    storage.write_cooccurrence_file(spark.createDataFrame(pairs, "w1 bigint, w2 bigint, count double"), str(tmp_path / "cooc"))
+    assert (tmp_path / "cooc").read_bytes() == b"".join(struct.pack("=iid", *p) for p in sorted(pairs))
+    assert sorted(map(tuple, storage.read_cooccurrence_files(spark, str(tmp_path / "cooc")).collect())) == sorted(pairs)
+    rows = [(i, 0.5 * i, 1e-3 * i, [float(i), -1.0, 2.0]) for i in range(8)]
+    storage.write_model_file(model_of(spark, [(i, f"w{i}", b, g, v) for i, b, g, v in rows]), str(tmp_path / "model"), 7)
+    found, epochs = storage.read_model_file(spark, str(tmp_path / "model"))
+    assert epochs == 7 and sorted((r["id"], r["bias"], r["grad"], r["vec"]) for r in found.collect()) == rows
+    assert storage.unpack_model((tmp_path / "model").read_bytes()) == (7, rows)
+    for kind, write in (("vocab", storage.write_vocabulary_file), ("cooc", storage.write_cooccurrence_file)):
+        empty = vocab.limit(0) if kind == "vocab" else spark.createDataFrame([], "w1 bigint, w2 bigint, count double")
+        write(empty, str(tmp_path / f"empty-{kind}"))
+    assert storage.read_vocabulary_file(spark, str(tmp_path / "empty-vocab")).count() == 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        master = "yarn"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(Session())
+
+
+def test_stream_summary_is_bounded(spark, tmp_path):
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{int(rnd.paretovariate(0.7))}" for _ in range(200)) for _ in range(12)]
+    for k in range(3):  # three files, one trigger each at most
+        spark.createDataFrame([(t,) for t in texts[4 * k : 4 * k + 4]], "text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "texts"))
+    found = word_counts.stream_heavy_hitters(spark, str(tmp_path / "texts"), 60).collect()
+    true = Counter(w for t in texts for w in t.split())
+    assert len(true) > 150 and len(found) == 60
+    assert all(r["count"] - r["epsilon"] <= true[r["word"]] <= r["count"] for r in found)
+    assert {w for w, _ in true.most_common(5)} <= {r["word"] for r in found}
+
+
+def test_summaries_merge_within_bounds(spark):
+    rnd = random.Random(8)
+    words = [[f"w{int(rnd.paretovariate(0.8))}" for _ in range(900)] for _ in range(3)]
+    true = Counter(w for part in words for w in part)
+    now = None
+    for part in words:
+        own = heavy_hitters_module.summaries(spark.createDataFrame([(w,) for w in part], "word string").repartition(2), 25)
+        now = heavy_hitters_module.shortened(heavy_hitters_module.merged(own if now is None else own.unionByName(now)), 25).cache()
+    rows = now.collect()
+    least = next(r["least"] for r in rows if r["word"] is None)
+    kept = {r["word"]: r for r in rows if r["word"] is not None}
+    assert len(kept) <= 25
+    for w, n in true.items():
+        assert kept[w]["count"] - kept[w]["epsilon"] <= n <= kept[w]["count"] if w in kept else n <= least

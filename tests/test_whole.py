@@ -31,7 +31,7 @@ def test_whole_sentences_co_occur(spark):
 def test_the_whole_sentence_query_has_no_prefix(spark, tmp_path):
     words = [f"x{k}" for k in range(40)]
     spark.createDataFrame([(0, " ".join(words))], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert catalogue.QUERIES["cooc_sentence_whole"](spark, str(tmp_path)).count() == 40 * 39
+    assert catalogue.QUERIES["cooc_sentence"](spark, str(tmp_path)).count() == 40 * 39
 
 
 @pytest.fixture(scope="module")
@@ -66,11 +66,11 @@ def test_training_of_fifty_words_is_the_sequential_rule(spark, trainable):
 def test_searches_take_every_twentieth_row(spark):
     sf = "/root/testdata/sf0.1"
     asked = {f"w{k}" for k in range(0, 2000, 20)}
-    for name in ("similar_words_all", "dissimilar_words_all"):
+    for name in ("similar_words", "dissimilar_words"):
         found = Counter(r["query"] for r in catalogue.QUERIES[name](spark, sf).collect())
         assert found == dict.fromkeys(asked, 10)
     model = catalogue._model(spark, sf)
-    one, many = (similarity.similar_words(catalogue._asked_rows(model), model, batch=b) for b in (1024, 40))
+    one, many = (similarity.similar_words(catalogue._asked(model), model, batch=b) for b in (1024, 40))
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
@@ -88,3 +88,12 @@ def test_steps_take_every_row(spark):
     found = catalogue.QUERIES["model_cost"](spark, sf).first()
     assert len(rows) == 2000 and found["updates"] == len(moved) / 2 and abs(found["cost"] - cost) < 1e-3
     assert {r["id"] for r in catalogue.QUERIES["adagrad_step"](spark, sf).select("id").distinct().collect()} == moved
+
+
+def test_dictionary_and_records_are_whole(spark, sf):
+    vocab = catalogue._vocab(spark, sf)
+    heads = {r["line"].split()[0] for r in catalogue._dictionary(vocab, "syn").collect()}
+    words = {r["id"]: r["word"] for r in vocab.collect()}
+    assert heads == {words[i] for i in words if i % 4 == 0 and i + 1 in words}
+    lines = [len(r["line"].split()) for r in catalogue._sentences(spark, sf).collect()]
+    assert catalogue._record_lines(spark, sf).count() == 2 * sum(max(0, n - 4) for n in lines)
