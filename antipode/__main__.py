@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
+import resource
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,22 +15,37 @@ from antipode.operators import cooccurrence, evaluation, similarity, thesaurus,
 from antipode.sources import corpus, storage
 
 
-def count_words(spark: SparkSession, folder: str, n: int, out: str, minimum: float = 0, dictionary: str | None = None, ngrams: bool = False) -> DataFrame:
-    """Writes the vocabulary of a folder of gzip files: lines of text, or n-gram records."""
+@contextlib.contextmanager
+def timed(phase: str):
+    """Says how long a phase took, and the most memory that the driver's Python had by then."""
+    began = time.perf_counter()
+    yield
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+    print(f"{time.strftime('%Y-%m-%d %H:%M:%S')} {phase}: {time.perf_counter() - began:.1f} s, driver {peak} MB", file=sys.stderr)
+
+
+def count_words(spark: SparkSession, folder: str, n: int, out: str, minimum: float = 0, dictionary: str | None = None, ngrams: bool = False, native: str | None = None) -> DataFrame:
+    """Writes the vocabulary of a folder of gzip files: lines of text, or n-gram records; and as a native file too."""
     lines = corpus.read_corpus(spark, folder)
     if ngrams:
         counts = vocabulary.ngram_word_counts(corpus.ngram_records(lines))
     else:
         counts = vocabulary.word_counts(corpus.tokenise(lines))
     words = None if dictionary is None else corpus.dictionary_words(corpus.read_lines(spark, dictionary))
-    vocabulary.vocabulary(counts, n, minimum, words).write.mode("overwrite").parquet(out)
+    with timed("vocabulary"):
+        vocabulary.vocabulary(counts, n, minimum, words).write.mode("overwrite").parquet(out)
+    if native:
+        storage.write_vocabulary_file(spark.read.parquet(out), native)
     return spark.read.parquet(out)
 
 
-def count_pairs(spark: SparkSession, folder: str, vocab: str, out: str, window: int, weight: int) -> DataFrame:
-    """Writes the co-occurrences of a folder of gzip files."""
+def count_pairs(spark: SparkSession, folder: str, vocab: str, out: str, window: int, weight: int, native: str | None = None) -> DataFrame:
+    """Writes the co-occurrences of a folder of gzip files; and as a native file too."""
     lines = storage.written(corpus.read_corpus(spark, folder).select("line", F.monotonically_increasing_id().alias("sentence")), "sentences")
-    cooccurrence.line_cooccurrences(lines, spark.read.parquet(vocab), window, weight, "sentence").write.mode("overwrite").parquet(out)
+    with timed("co-occurrences"):
+        cooccurrence.line_cooccurrences(lines, spark.read.parquet(vocab), window, weight, "sentence").write.mode("overwrite").parquet(out)
+    if native:
+        storage.write_cooccurrence_file(spark.read.parquet(out), native)
     return spark.read.parquet(out)
 
 
@@ -40,21 +58,26 @@ def _relations(spark: SparkSession, vocab: DataFrame, synonyms: str | None, anto
 
 
 def train_model(
-    spark: SparkSession, vocab: str, cooc: str, model: str, epochs: int, dim: int | None = None, synonyms: str | None = None, antonyms: str | None = None, tasks: int | None = None, seed: int = 0
+    spark: SparkSession, vocab: str, cooc: str, model: str, epochs: int, dim: int | None = None, synonyms: str | None = None, antonyms: str | None = None, tasks: int | None = None, seed: int = 0, native: str | None = None
 ) -> list[float]:
     """Trains a model of dim dimensions, or goes on with the saved one without dim; the cost of each epoch. Each epoch is
     saved under ``model`` before the next begins."""
     words, pairs = spark.read.parquet(vocab), spark.read.parquet(cooc)
-    stats = storage.written(updates.word_stats(words, pairs), "stats")
-    table = storage.written(updates.update_table(pairs, stats, _relations(spark, words, synonyms, antonyms), seed), "updates")
+    with timed("set-up"):
+        stats = storage.written(updates.word_stats(words, pairs), "stats")
+        table = storage.written(updates.update_table(pairs, stats, _relations(spark, words, synonyms, antonyms), seed), "updates")
     rows, done = (training.initial_model(words, dim, seed), 0) if dim else storage.load_model(spark, model)
     rows = storage.written(rows, "model")  # the saved one is replaced below
     costs = []
     for epoch in range(done, done + epochs):
-        rows, cost, changes = training.train_epoch(rows, table, tasks or spark.sparkContext.defaultParallelism, seed, epoch)
+        with timed(f"epoch {epoch}"):
+            rows, cost, changes = training.train_epoch(rows, table, tasks or spark.sparkContext.defaultParallelism, seed, epoch)
         print(f"epoch {epoch}: cost {cost}, updates {changes}", file=sys.stderr)
-        storage.save_model(rows, model, epoch + 1)
+        with timed("saved"):
+            storage.save_model(rows, model, epoch + 1)
         costs.append(cost)
+    if native:
+        storage.write_model_file(rows, native, done + epochs)
     return costs
 
 
@@ -76,14 +99,15 @@ def main(args: list[str]) -> None:
     sub = parser.add_subparsers(dest="program", required=True)
     p = sub.add_parser("vocabulary")
     p.add_argument("folder"), p.add_argument("n", type=int), p.add_argument("out")
-    p.add_argument("--minimum", type=float, default=0), p.add_argument("--dictionary"), p.add_argument("--ngrams", action="store_true")
+    p.add_argument("--minimum", type=float, default=0), p.add_argument("--dictionary"), p.add_argument("--ngrams", action="store_true"), p.add_argument("--native")
     p = sub.add_parser("cooccurrence")
     p.add_argument("folder"), p.add_argument("vocab"), p.add_argument("out"), p.add_argument("window", type=int)
     p.add_argument("--weight", type=int, default=1, choices=(0, 1, 2), help="0 none, 1 harmonic, 2 linear")
+    p.add_argument("--native", help="the native file to write too")
     p = sub.add_parser("train")
     p.add_argument("vocab"), p.add_argument("cooc"), p.add_argument("model"), p.add_argument("epochs", type=int)
     p.add_argument("--dim", type=int, help="without it the saved model is trained on")
-    p.add_argument("--synonyms"), p.add_argument("--antonyms"), p.add_argument("--tasks", type=int), p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--synonyms"), p.add_argument("--antonyms"), p.add_argument("--tasks", type=int), p.add_argument("--seed", type=int, default=0), p.add_argument("--native")
     p = sub.add_parser("score")
     p.add_argument("model"), p.add_argument("questions"), p.add_argument("--vectors", choices=("plain", "with-id")), p.add_argument("--antonyms")
     p = sub.add_parser("similar")
