@@ -40,7 +40,7 @@ from .shingles import shingle_set
 
 #: Members of one comparing group, members of one block of a posting list, and rows of a token that join in one go.
 GROUP = 2048
-BLOCK = 4096
+BLOCK = 512
 SALT = 512
 #: Bits of a token below its frequency level.
 LEVEL = 57
