@@ -46,9 +46,13 @@ def _tokens(spark, sf_dir):
     return corpus.tokenise(_sentences(spark, sf_dir), *KEY)
 
 
+def _words(spark, sf_dir):
+    return corpus.words(spread(table(spark, sf_dir, "documents").select("text")))
+
+
 def _vocab(spark, sf_dir):
     # Read many times by what follows, and small: written once.
-    return storage.written(vocabulary.vocabulary(vocabulary.word_counts(_tokens(spark, sf_dir)), N), "vocab")
+    return storage.written(vocabulary.vocabulary(vocabulary.word_counts(_words(spark, sf_dir)), N), "vocab")
 
 
 def _encoded(spark, sf_dir, vocab):
@@ -128,17 +132,17 @@ def sentence_token_counts(spark, sf_dir):
 
 @query(o.sql(o.COUNTS, 'SELECT word, "count" FROM counts'))
 def word_counts(spark, sf_dir):
-    return vocabulary.word_counts(_tokens(spark, sf_dir))
+    return vocabulary.word_counts(_words(spark, sf_dir))
 
 
 @query(o.sql(o.VOCAB, 'SELECT id, word, "count", false AS is_dict FROM vocab'))
 def vocab_topn_ties(spark, sf_dir):
-    return vocabulary.vocabulary(vocabulary.word_counts(_tokens(spark, sf_dir)), N)
+    return vocabulary.vocabulary(vocabulary.word_counts(_words(spark, sf_dir)), N)
 
 
 @query(o.sql(o.COUNTS, f'SELECT row_number() OVER (ORDER BY "count" DESC, word) - 1 AS id, word, "count", false AS is_dict FROM counts QUALIFY id < {N}'))
 def vocab_topn_strict(spark, sf_dir):
-    return vocabulary.vocabulary(vocabulary.word_counts(_tokens(spark, sf_dir)), N, ties="strict")
+    return vocabulary.vocabulary(vocabulary.word_counts(_words(spark, sf_dir)), N, ties="strict")
 
 
 @query(
@@ -149,7 +153,7 @@ def vocab_topn_strict(spark, sf_dir):
     )
 )
 def vocab_min_count(spark, sf_dir):
-    return vocabulary.vocabulary(vocabulary.word_counts(_tokens(spark, sf_dir)), N, minimum=50)
+    return vocabulary.vocabulary(vocabulary.word_counts(_words(spark, sf_dir)), N, minimum=50)
 
 
 @query(
@@ -164,7 +168,7 @@ def vocab_min_count(spark, sf_dir):
 )
 def vocab_with_dict(spark, sf_dir):
     words = corpus.dictionary_words(table(spark, sf_dir, "benchmark").select(F.col("text").alias("line")))
-    return vocabulary.vocabulary(vocabulary.word_counts(_tokens(spark, sf_dir)), N, dictionary=words)
+    return vocabulary.vocabulary(vocabulary.word_counts(_words(spark, sf_dir)), N, dictionary=words)
 
 
 def _record_lines(spark, sf_dir):
@@ -207,14 +211,14 @@ def encode_tokens(spark, sf_dir):
 @query()
 def spacesaving_topk(spark, sf_dir):
     """Approximate; ``spacesaving_bounds`` holds the bounds against exact counts."""
-    found = heavy_hitters.heavy_hitters(_tokens(spark, sf_dir), 10 * N)
+    found = heavy_hitters.heavy_hitters(_words(spark, sf_dir), 10 * N)
     return found.orderBy(F.desc("count"), "word").limit(100)
 
 
 @query(o.sql(o.COUNTS, """top AS (SELECT word, "count" AS true_count FROM counts ORDER BY "count" DESC, word LIMIT 100)""", "SELECT word, true_count, true AS found, true AS within_bounds FROM top"))
 def spacesaving_bounds(spark, sf_dir):
     """The 100 most frequent words by exact counts: are they in the summary, and within its bounds?"""
-    tokens = _tokens(spark, sf_dir)
+    tokens = _words(spark, sf_dir)
     exact = vocabulary.word_counts(tokens).orderBy(F.desc("count"), "word").limit(100).select("word", F.col("count").alias("true_count"))
     rows = exact.join(heavy_hitters.heavy_hitters(tokens, 10 * N), "word", "left")
     within = F.col("true_count").between(F.col("count") - F.col("epsilon"), F.col("count"))
@@ -224,7 +228,7 @@ def spacesaving_bounds(spark, sf_dir):
 @query(o.sql(o.COUNTS, """top AS (SELECT word, "count" AS true_count FROM counts ORDER BY "count" DESC, word LIMIT 100)""", "SELECT word, true_count, true AS found, true AS within_bounds FROM top"))
 def stream_spacesaving_bounds(spark, sf_dir):
     """The same of a stream's summary, whose state is bounded."""
-    exact = vocabulary.word_counts(_tokens(spark, sf_dir)).orderBy(F.desc("count"), "word").limit(100).select("word", F.col("count").alias("true_count"))
+    exact = vocabulary.word_counts(_words(spark, sf_dir)).orderBy(F.desc("count"), "word").limit(100).select("word", F.col("count").alias("true_count"))
     rows = exact.join(streaming.stream_heavy_hitters(spark, f"{sf_dir.rstrip('/')}/documents.parquet", 10 * N), "word", "left")
     within = F.col("true_count").between(F.col("count") - F.col("epsilon"), F.col("count"))
     return rows.select("word", "true_count", F.col("count").isNotNull().alias("found"), F.coalesce(within, F.lit(False)).alias("within_bounds"))

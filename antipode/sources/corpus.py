@@ -34,6 +34,13 @@ def tokenise(lines: DataFrame, *key: str, digits: bool = False) -> DataFrame:
     return lines.select(*key, F.posexplode(words).alias("pos", "word")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def words(texts: DataFrame, column: str = "text") -> DataFrame:
+    """word: the lower-cased tokens of whole texts, of which nobody asks for line or place. A line feed is white space, so
+    they are those of the lines; one explode, and no array is filtered."""
+    split = F.split(t.lower_ascii(F.col(column)), t.SPACE)
+    return texts.select(F.explode(split).alias("word")).where("word <> ''")
+
+
 def ngram_records(lines: DataFrame) -> DataFrame:
     """word, match_count: the five tokens of each record of exactly 8 fields, without part-of-speech suffixes."""
     fields = F.split(t.lower_ascii(F.col("line")), "[ \t]+")

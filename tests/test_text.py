@@ -97,3 +97,10 @@ def test_both_ways_to_pairs_agree(spark, monkeypatch):
         monkeypatch.setattr(cooccurrence, "BROADCAST_WORDS", most)
         found.append(sorted(map(tuple, cooccurrence.line_cooccurrences(lines, vocab, 3, 1, "s").collect())))
     assert found[0] == found[1] and found[0]
+
+
+def test_words_of_texts_are_the_tokens_of_their_lines(spark):
+    texts = ["", None, " a\n\nB\tc\x0bd \x0ce\r", "\u00c9T\u00c9 x\u00a0y\n", "\n", "one"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    lines = corpus.tokenise(corpus.sentences(rows), "doc_id", "line_no")
+    assert sorted(r.word for r in corpus.words(rows).collect()) == sorted(r.word for r in lines.collect()) != []
