@@ -6,7 +6,8 @@
 3. Each sender turns the answers into a bitmap of *suspect* rows and joins it to its staged rows in place
    (the table is bucketed by sender; no text moves).
 4. Only suspects are shuffled, grouped by their bytes. Equal texts meet as one row per task, because Spark
-   sums before it shuffles; a fingerprint that two texts share is told apart there.
+   sums before it shuffles; a fingerprint that two texts share is told apart there. Suspects then meet their group's
+   row in a join by SHA-256, one small row a group; Spark's adaptive execution cuts the side of a hot text's rows.
 
 Texts are equal when identical after no change. Of equal texts the row with the largest doc_id stays; of
 rows that repeat that doc_id one stays. Null text counts as empty; a null doc_id is smaller than any. Empty
