@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow
@@ -72,15 +73,18 @@ def mentions(words: set[str], lists: int = 2) -> list[tuple[set[str], str, tuple
 
 def counterfactuals(words: set[str], swaps: int = 3) -> list[tuple[list[int], list[int]]]:
     """For each mention of an identity term: the features that a swap adds and those it takes away."""
-    out = []
+    out, bases = [], {}
     for own_words, term, terms in mentions(words):
-        own = features(own_words)
+        rest = frozenset(own_words - {term})
+        if rest not in bases:
+            bases[rest] = features(rest)
+        mine = word_features(term) - bases[rest]
         others = [t for t in terms[1:] if t != term]
         start = zlib.crc32(term.encode()) % len(others)
         for other in [terms[0], *(others[(start + k) % len(others)] for k in range(swaps))]:
             if other != term:
-                new = features(own_words - {term} | {other})
-                out.append((sorted(new - own), sorted(own - new)))
+                its = word_features(other) - bases[rest]
+                out.append((sorted(its - mine), sorted(mine - its)))
     return out
 
 
@@ -117,12 +121,14 @@ class Model:
 
 class Loss:
     """The loss of weights and bias without the L1 term, and its gradient. values holds the rows' features one after the
-    other, at where each row begins and the last ends. Rows are taken in blocks, so temporaries stay small."""
+    other, at where each row begins and the last ends. Rows are taken in blocks, so temporaries stay small; swaps that
+    change the same features are one, as often as they come."""
 
     def __init__(self, values: np.ndarray, at: np.ndarray, labels: np.ndarray, swaps: list, fairness: float):
         self.values, self.at, self.y, self.fairness = values, at, labels.astype(float), fairness
-        pairs = [(np.array(more + less, np.int64), np.r_[np.ones(len(more)), -np.ones(len(less))]) for more, less in swaps if more or less]
-        self.pairs = len(pairs)
+        counted = sorted(Counter((tuple(more), tuple(less)) for more, less in swaps if more or less).items())
+        pairs = [(np.array(more + less, np.int64), np.r_[np.ones(len(more)), -np.ones(len(less))]) for (more, less), _ in counted]
+        self.pairs, self.times = len(pairs), np.array([n for _, n in counted], float)
         self.swap_index = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
         self.swap_sign = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0)
         self.swap_row = np.repeat(np.arange(len(pairs)), [len(p[0]) for p in pairs])
@@ -141,8 +147,8 @@ class Loss:
             missed += miss.sum()
         if self.pairs:
             change = np.bincount(self.swap_row, w[self.swap_index] * self.swap_sign, self.pairs)
-            loss += self.fairness * (change @ change)
-            grad += 2 * self.fairness * np.bincount(self.swap_index, change[self.swap_row] * self.swap_sign, len(w))
+            loss += self.fairness * (self.times * change @ change)
+            grad += 2 * self.fairness * np.bincount(self.swap_index, (self.times * change)[self.swap_row] * self.swap_sign, len(w))
         return loss, grad, missed
 
 
@@ -198,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000, l1: float
     swaps = [s for more, less in zip(found["more"].to_pylist(), found["less"].to_pylist(), strict=True) for s in zip(more, less, strict=True)]
     del found, parts
     pyarrow.default_memory_pool().release_unused()
-    return optimise(values, at, toxic, sorted(swaps), l1, fairness)
+    return optimise(values, at, toxic, swaps, l1, fairness)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -193,6 +193,15 @@ def test_rendering_is_reversible(spark):
     assert chat.chat_format(chat.as_events(table.limit(0))).count() == 0
 
 
+def test_one_very_long_conversation(spark):
+    rows = spark.range(4000).select(
+        F.lit(1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("</s> turn "), F.col("id")).alias("text")
+    )
+    rows = rows.unionByName(spark.createDataFrame([(2, 0, "user", "hi")], "conv_id bigint, turn bigint, role string, text string")).repartition(5)
+    found = {r.conv_id: r for r in chat.chat_format(chat.as_events(rows)).withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
+    assert [t.text for t in found[1].turns] == [f"</s> turn {k}" for k in range(4000)] and len(found[1].loss) == 2000 and len(found[2].turns) == 1
+
+
 # --- decontamination --------------------------------------------------------------------------------------
 
 
@@ -331,12 +340,24 @@ def test_counterfactual_penalty_evens_out_groups(spark):
     assert toxicity.fit(documents(spark, rows), labels).score("the song of gays and muslims in winter") < 0.3
 
 
+def test_swaps_change_the_features_that_differ():
+    for text in ("", "the old black song of people", "mensch und frau", "nothing of the kind, a disgrace", "x"):
+        words = set(toxicity.WORD.findall(text))
+        want = []
+        for own, term, terms in toxicity.mentions(words):
+            others = [t for t in terms if t != term]
+            want += [(tuple(sorted(toxicity.features(own - {term} | {o}) - toxicity.features(own))), tuple(sorted(toxicity.features(own) - toxicity.features(own - {term} | {o})))) for o in others]
+        found = [(tuple(more), tuple(less)) for more, less in toxicity.counterfactuals(words, swaps=20)]
+        assert set(found) == set(want) and bool(found) == bool(words)
+
+
 def test_gradient_of_the_loss():
     rng = np.random.default_rng(1)
     sizes = rng.integers(0, 6, 40)
     at = np.concatenate([[0], np.cumsum(sizes)])
     values = rng.integers(0, 12, at[-1])
-    swaps = [(sorted(set(rng.integers(0, 12, 3).tolist())), sorted(set(rng.integers(0, 12, 2).tolist()))) for _ in range(9)] + [([], [])]
+    swaps = [(sorted(set(rng.integers(0, 12, 3).tolist())), sorted(set(rng.integers(0, 12, 2).tolist()))) for _ in range(9)]
+    swaps += [*swaps[:4], swaps[0], ([], [])]
     loss = toxicity.Loss(values, at, rng.integers(0, 2, 40), swaps, 0.7)
     w, bias = rng.normal(size=12), 0.3
     _, grad, missed = loss(w, bias)
