@@ -7,6 +7,7 @@ receive; the vocabulary file itself is never copied into the repository.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import types
 
@@ -182,8 +183,16 @@ class Pieces:
             return self.plain(text)
 
 
+#: Other than plain white space, printable ASCII and the Latin blocks to U+024F, whose letters and numbers are the same
+#: in every version of Unicode in use.
+UNSAFE = "[^\t\n\r -~\u00a1-\u024f]"
+#: Characters of a text that the quicker library splits itself; its pattern matcher has a stack.
+WHOLE = 1 << 16
+
+
 class Encoder:
-    """Whole texts to their ids as little-endian unsigned 32-bit bytes, as the library gives them."""
+    """Whole texts to their ids as little-endian unsigned 32-bit bytes, as the library gives them. ASCII texts, long ones
+    and those with other scripts go by the memory of pieces, other Latin ones through the quicker library at once."""
 
     def __init__(self, compiled: dict):
         import struct
@@ -191,7 +200,7 @@ class Encoder:
         import tiktoken
 
         # The file's merges run in the library that is quickest for short strings. All versions of Unicode
-        # agree on ASCII, so there it may split too; other pieces are split by the pattern above.
+        # agree on ASCII and Latin, so there it may split too; other pieces are split by the pattern above.
         def merger(pattern: str):
             merge = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=merge_ranks(compiled), special_tokens={}).encode_ordinary
 
@@ -203,7 +212,14 @@ class Encoder:
 
         self.special = special_splitter(compiled)
         self.specials = {k: struct.pack("<I", v) for k, v in compiled["specials"].items()}
-        self.plain = Pieces(splitter(compiled), merger(r"(?s:.+)"), b"".join, merger(SPLIT.replace("{L}", LETTER).replace("{N}", NUMBER)))
+        self.whole = merger(SPLIT.replace("{L}", LETTER).replace("{N}", NUMBER))
+        self.pieces = Pieces(splitter(compiled), merger(r"(?s:.+)"), b"".join, self.whole)
+        self.unsafe = re.compile(UNSAFE).search
+
+    def plain(self, text: str) -> bytes:
+        if text.isascii() or len(text) > WHOLE or self.unsafe(text):
+            return self.pieces(text)
+        return self.whole(text)
 
     def __call__(self, text: str) -> bytes:
         if not any(s in text for s in self.specials):

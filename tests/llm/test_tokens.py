@@ -36,6 +36,22 @@ def test_counts_and_ids_are_the_library_s(compiled, library):
         assert count(text) == len(ids)
 
 
+def test_latin_texts_are_split_by_the_quicker_library(compiled, library):
+    encode, rnd = bpe.Encoder(compiled), random.Random(21)
+    latin = [chr(c) for c in range(0xA1, 0x250)]
+    bits = [*latin, *"abc XYZ 0129 '-_.,!  \n\t\r", "'s", "'ll", " \n ", "  ", "the ", "\n\n\n"]
+    # Each letter beside letters, numbers, marks and white space; then mixtures; then long runs.
+    rows = [f"a{c}1{c} {c}{c}'s{c}-{c}\n{c}  {c}" for c in latin]
+    rows += ["é" + "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
+    rows += ["é" + x * 60_000 for x in (" ", "\n", "é", "1", "!", " \n")] + ["é\x1c a\x85b\xa0c ", "é" * (bpe.WHOLE + 5)]
+    whole, seen = encode.whole, []
+    encode.whole = lambda text: seen.append(text) or whole(text)
+    for text in rows:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+    assert len(seen) >= len(rows) - 3
+
+
 def test_all_code_points(compiled, library):
     text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     assert token_counts.Counter(compiled)(text) == len(library.encode(text, add_special_tokens=False).ids)
