@@ -46,6 +46,9 @@ GRAM = 24
 HOT = 26
 #: Short documents of one collection.
 COLLECTION = 1 << 14
+#: Short documents that an owner decides at once, and bytes of text and of results that tasks hold as objects at once.
+AT_ONCE = 1 << 17
+BATCH = 1 << 22
 _PART = 1 << 23
 _LEAST = -(1 << 63)
 
@@ -171,7 +174,7 @@ DECIDED = "sender int, owner int, least binary, several binary, best binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(values).data, 1)
 
 
 def _unpacked(data: bytes, kind) -> np.ndarray:
@@ -183,60 +186,96 @@ def _texts(data: bytes, sizes: np.ndarray) -> list[bytes]:
     return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def part_messages(sender: int, documents: list, flat: np.ndarray, level: np.ndarray, owners: int, length: int) -> list[tuple]:
-    """A sender's shared short documents, equal ones once, sorted by key and cut by owner; and, as a message to
-    itself (owner -1), where each stands. documents: (docno, owner id, bytes, first, last), which the list gives up one
-    by one; flat and level have their keys and the keys' levels one after the other."""
-    known: dict[bytes, int] = {}  # equal bytes have equal keys
-    chosen, least, numbers, docnos, starts = [], [], [], [], []
+def shared_parts(documents: list, flat: np.ndarray, level: np.ndarray, length: int) -> list[np.ndarray]:
+    """[key, document, start, end] of the short documents whose key occurs elsewhere, hot ones string by string. documents:
+    (docno, owner id, bytes, first, last), of which the list keeps the first three; flat and level have their keys and
+    the keys' levels one after the other."""
+    found = [[np.zeros(0, np.uint64)], *([np.zeros(0, np.int32)] for _ in range(3))]
     at = 0
     for n, (docno, own, data, first, last) in enumerate(documents):
-        documents[n] = None
+        documents[n] = docno, own, data
         key, levels = flat[at : at + len(first)], level[at : at + len(first)]
         at += len(first)
         cold, hot = np.flatnonzero((levels > 0) & (levels < HOT)), np.flatnonzero(levels >= HOT)
-        key, a, b = key[cold], first[cold], last[cold]
+        mine = [(key[cold], first[cold], last[cold])]
         if len(hot):
             each = np.concatenate([np.arange(first[k], last[k] + 1) for k in hot])
-            key = np.concatenate([key, span_hashes(data, each, each + length) ^ np.uint64(0x2545F4914F6CDD1D)])
-            a, b = np.concatenate([a, each]), np.concatenate([b, each])
-        if not len(key):
+            mine.append((span_hashes(data, each, each + length) ^ np.uint64(0x2545F4914F6CDD1D), each, each))
+        for k, a, b in mine:
+            for to, x in zip(found, (k, np.full(len(k), n, np.int32), a.astype(np.int32), b.astype(np.int32) + np.int32(length)), strict=True):
+                to.append(x)
+    out = []
+    while found:
+        out.append(np.concatenate(found.pop(0)))
+    return out
+
+
+def part_messages(sender: int, documents: list, parts: list[np.ndarray], owners: int):
+    """Yields a sender's shared short documents, equal ones once, sorted by key and cut by owner; and, as a message to
+    itself (owner -1), where each stands. documents: (docno, owner id, bytes), given up at the end; parts: as from
+    ``shared_parts``. One owner's short documents are held at a time."""
+    key, doc, start, end = parts
+    del parts
+    if not len(key):
+        return
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    number = np.empty(len(key), np.int32)
+    bounds = np.array([(o << 64) // owners for o in range(owners)], np.uint64)
+    cuts = [*np.searchsorted(key, bounds, sorter=order).tolist(), len(key)]
+    done = 0
+    for owner, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a == b:
             continue
-        mine = []
-        for k, x, y in zip(key.tolist(), a.tolist(), (b + length).tolist(), strict=True):
-            part = data[x:y]
-            number = known.get(part)
-            if number is None:
-                number = known[part] = len(chosen)
+        turn = order[a:b]
+        texts, chosen, least, mine = [], [], [], []
+        before, known = None, {}
+        for k, n, x, y in zip(key[turn].tolist(), doc[turn].tolist(), start[turn].tolist(), end[turn].tolist(), strict=True):
+            if k != before:  # equal bytes have equal keys
+                before, known = k, {}
+            own, text = documents[n][1], documents[n][2][x:y]
+            at = known.get(text)
+            if at is None:
+                at = known[text] = len(texts)
+                texts.append(text)
                 chosen.append(k)
                 least.append(own)
-            elif own < least[number]:
-                least[number] = own
-            mine.append(number)
-        numbers.append(np.array(mine, np.int32))
-        docnos.append(np.full(len(mine), docno, np.int32))
-        starts.append(a.astype(np.int32))
-    if not chosen:
-        return []
-    parts = list(known)  # in the order of their numbers
-    del known
-    key, least = np.array(chosen, np.uint64), np.array(least, np.int64)
-    sizes = np.fromiter(map(len, parts), np.int32, len(parts))
-    order = np.argsort(key, kind="stable")
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    number = place[np.concatenate(numbers)]
-    key, least, sizes = key[order], least[order], sizes[order]
-    bounds = np.array([(o << 64) // owners for o in range(owners)], np.uint64)
-    cuts = [*np.searchsorted(key, bounds).tolist(), len(key)]
-    out = []
-    for owner, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if a < b:
-            text = zlib.compress(b"".join([parts[k] for k in order[a:b].tolist()]), 1)
-            out.append((sender, owner, _packed(key[a:b]), _packed(sizes[a:b]), _packed(least[a:b]), text, None))
-    places = [np.concatenate(docnos), np.concatenate(starts), number, sizes[number]]
-    out.append((sender, -1, None, None, None, None, _packed(np.stack(places))))
-    return out
+            elif own < least[at]:
+                least[at] = own
+            mine.append(at)
+        number[turn] = np.array(mine, np.int32) + np.int32(done)
+        done += len(texts)
+        sizes = np.fromiter(map(len, texts), np.int32, len(texts))
+        yield sender, owner, _packed(np.array(chosen, np.uint64)), _packed(sizes), _packed(np.array(least, np.int64)), zlib.compress(b"".join(texts), 1), None
+    del order, key
+    docnos = np.fromiter((d for d, _, _ in documents), np.int32, len(documents))
+    documents.clear()
+    to, places = zlib.compressobj(1), []
+    for make in (lambda: docnos[doc], lambda: start, lambda: number, lambda: end - start):
+        places.append(to.compress(make().data))
+    yield sender, -1, None, None, None, None, b"".join([*places, to.flush()])
+
+
+def in_batches(rows, columns: str, size):
+    """A table of the rows in batches of about ``BATCH`` bytes, so that what reads it holds one at a time."""
+    import pyarrow as pa
+
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+    batches, held, n = [], [], 0
+
+    def take():
+        batches.append(pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema))
+        held.clear()
+
+    for row in rows:
+        held.append(row)
+        n += size(row)
+        if n >= BATCH:
+            take()
+            n = 0
+    if held:
+        take()
+    return pa.Table.from_batches(batches, schema)
 
 
 def by_string(texts: list[bytes], owner: list[int], length: int) -> list[np.ndarray]:
@@ -253,14 +292,35 @@ def by_string(texts: list[bytes], owner: list[int], length: int) -> list[np.ndar
 
 def decide(messages: list[tuple], length: int) -> list[tuple[bytes, bytes, bytes]]:
     """For each message (keys, sizes, least, text): the smallest owner of each short document, the numbers of
-    those whose strings differ in owner, and these strings' owners one after the other."""
-    counts, numbers = [], []
+    those whose strings differ in owner, and these strings' owners one after the other. Goes by ranges of keys of about
+    ``AT_ONCE`` short documents, whole keys together."""
+    parts = []
+    while messages:
+        m = messages.pop(0)
+        cuts = np.concatenate([[0], np.cumsum(_unpacked(m[1], np.int32), dtype=np.int64)])
+        parts.append((_unpacked(m[0], np.uint64), cuts, _unpacked(m[2], np.int64), zlib.decompress(m[3])))
+    every = np.sort(np.concatenate([p[0] for p in parts]))
+    bounds = np.unique(every[AT_ONCE::AT_ONCE])
+    del every
+    edges = [[0, *np.searchsorted(p[0], bounds).tolist(), len(p[0])] for p in parts]
+    out = [([], [], []) for _ in parts]
+    for r in range(len(bounds) + 1):
+        ranges = [(e[r], e[r + 1]) for e in edges]
+        some = [(key[a:b].tolist(), _texts(text[cuts[a] : cuts[b]], np.diff(cuts[a : b + 1])), least[a:b].tolist()) for (key, cuts, least, text), (a, b) in zip(parts, ranges, strict=True)]
+        for told, (a, _), found in zip(out, ranges, _decide(some, length), strict=True):
+            for to, x in zip(told, (found[0], found[1] + np.int32(a), found[2]), strict=True):
+                to.append(x)
+    return [tuple(_packed(np.concatenate(x)) for x in told) for told in out]
+
+
+def _decide(messages: list[tuple], length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``decide`` for messages (keys, texts, least) of one range of keys."""
+    numbers = []
     known: dict[bytes, int] = {}
     keys, smallest = [], []
-    for m in messages:
-        key, least = _unpacked(m[0], np.uint64).tolist(), _unpacked(m[2], np.int64).tolist()
+    for key, given, least in messages:
         mine = np.empty(len(key), np.int64)
-        for k, (text, x, own) in enumerate(zip(_texts(zlib.decompress(m[3]), _unpacked(m[1], np.int32)), key, least, strict=True)):
+        for k, (text, x, own) in enumerate(zip(given, key, least, strict=True)):
             number = known.get(text)
             if number is None:
                 number = known[text] = len(keys)
@@ -269,7 +329,6 @@ def decide(messages: list[tuple], length: int) -> list[tuple[bytes, bytes, bytes
             elif own < smallest[number]:
                 smallest[number] = own
             mine[k] = number
-        counts.append(len(key))
         numbers.append(mine)
     texts, keys = list(known), np.array(keys, np.uint64)
     del known
@@ -294,47 +353,55 @@ def decide(messages: list[tuple], length: int) -> list[tuple[bytes, bytes, bytes
     for own in numbers:
         differ = [k for k, x in enumerate(own.tolist()) if x in several]
         best = [several[int(own[k])] for k in differ]
-        out.append((_packed(smallest[own]), _packed(np.array(differ, np.int32)), _packed(np.concatenate(best) if best else np.zeros(0, np.int64))))
+        out.append((smallest[own], np.array(differ, np.int32), np.concatenate(best) if best else np.zeros(0, np.int64)))
     return out
 
 
-def covered(documents: list[tuple], places: np.ndarray, decided: list[tuple], length: int) -> dict[int, np.ndarray]:
-    """By docno: a boolean for each byte, true if it goes. documents: (docno, owner id, bytes)."""
+def covering(places: np.ndarray, decided: list[tuple], length: int):
+    """A function of documents (docno, owner id, bytes), some at a time: by docno, a boolean for each byte, true if it goes."""
     docno, start, number, size = places
     parts = [(_unpacked(a, np.int64), _unpacked(b, np.int32), _unpacked(c, np.int64)) for _, a, b, c in sorted(decided, key=lambda d: d[0])]
     least = np.concatenate([p[0] for p in parts])
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
     differ = np.concatenate([p[1] + b for p, b in zip(parts, base[:-1], strict=True)]).astype(np.int64)
     best = np.concatenate([p[2] for p in parts])
-    sizes = np.zeros(len(least), np.int64)
+    del parts
+    sizes = np.zeros(len(least), np.int32)
     sizes[number] = size
-    first = np.zeros(len(least), np.int64)
-    strings = sizes[differ] - length + 1
+    first = np.full(len(least), -1, np.int64)  # of several owners
+    strings = sizes[differ].astype(np.int64) - length + 1
     first[differ] = np.cumsum(strings) - strings
-    mixed = np.zeros(len(least), bool)
-    mixed[differ] = True
-
-    place = {d: k for k, (d, _, _) in enumerate(documents)}
-    lengths = np.array([len(t) + 1 for _, _, t in documents], np.int64)
-    begin = np.cumsum(lengths) - lengths
-    own = np.array([o for _, o, _ in documents], np.int64)
-    doc = np.array([place[d] for d in docno.tolist()], np.int64)
-    # A byte lies in at most length strings and as many short documents, so 16 bits do.
-    edge = np.zeros(int(lengths.sum()) + 1, np.int16)
-    whole = np.flatnonzero(~mixed[number] & (least[number] < own[doc]))
-    at = begin[doc[whole]] + start[whole]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + size[whole], -1)
-    some = np.flatnonzero(mixed[number])
-    many = sizes[number[some]] - length + 1
-    inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    hit = best[np.repeat(first[number[some]], many) + inner] < np.repeat(own[doc[some]], many)
-    at = (np.repeat(begin[doc[some]] + start[some], many) + inner)[hit]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + length, -1)
-    gone = np.cumsum(edge, dtype=np.int16, out=edge) > 0
-    del edge
-    return {d: gone[b : b + len(t)] for (d, _, t), b in zip(documents, begin.tolist(), strict=True)}
+    del sizes, strings, differ
+    turn = np.argsort(docno, kind="stable").astype(np.int32)
+    ids, begins = np.unique(docno[turn], return_index=True)
+    rows = dict(zip(ids.tolist(), zip(begins.tolist(), [*begins[1:].tolist(), len(turn)], strict=True), strict=True))
+
+    def of(documents: list[tuple]) -> dict[int, np.ndarray]:
+        mine = [turn[slice(*rows.get(d, (0, 0)))] for d, _, _ in documents]
+        doc = np.repeat(np.arange(len(mine)), [len(x) for x in mine])
+        mine = np.concatenate(mine)
+        begin_at, numbers, lengths_at = start[mine], number[mine], size[mine]
+        lengths = np.array([len(t) + 1 for _, _, t in documents], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        own = np.array([o for _, o, _ in documents], np.int64)
+        # A byte lies in at most length strings and as many short documents, so 16 bits do.
+        edge = np.zeros(int(lengths.sum()) + 1, np.int16)
+        mixed = first[numbers] >= 0
+        whole = np.flatnonzero(~mixed & (least[numbers] < own[doc]))
+        at = begin[doc[whole]] + begin_at[whole]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + lengths_at[whole], -1)
+        some = np.flatnonzero(mixed)
+        many = lengths_at[some].astype(np.int64) - length + 1
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        hit = best[np.repeat(first[numbers[some]], many) + inner] < np.repeat(own[doc[some]], many)
+        at = (np.repeat(begin[doc[some]] + begin_at[some], many) + inner)[hit]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length, -1)
+        gone = np.cumsum(edge, dtype=np.int16, out=edge) > 0
+        return {d: gone[b : b + len(t)] for (d, _, t), b in zip(documents, begin.tolist(), strict=True)}
+
+    return of
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -360,8 +427,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return trimmed(exchange.message_table(exchange.message_rows(key[0].as_py(), np.concatenate(found), owners) if found else []))
 
     def cut(key, table, control):
-        import pyarrow as pa
-
         answers = exchange.read_answers([(o, v) for o, v in zip(control["owner"].to_pylist(), control["values"].to_pylist(), strict=True) if o >= 0])
         documents, keys = [], []
         for docno, own, data in first_documents(table, control):
@@ -370,41 +435,52 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             documents.append((docno, own, data, first, last))
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         del keys, table
-        level = exchange.levels_of(flat, answers)
-        columns = list(zip(*part_messages(key[0].as_py(), documents, flat, level, owners, length), strict=True)) or [[]] * 7
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-        return trimmed(pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in PARTS.split(", ")]))
+        parts = shared_parts(documents, flat, exchange.levels_of(flat, answers), length)
+        del flat, answers
+        rows = part_messages(key[0].as_py(), documents, parts, owners)
+        del parts
+        return trimmed(in_batches(rows, PARTS, lambda row: sum(map(len, filter(None, row[2:])))))
 
     def owned(table):
         import pyarrow as pa
 
-        told = decide(list(zip(*(table[c].to_pylist() for c in ("keys", "sizes", "least", "text")), strict=True)), length)
+        messages = list(zip(*(table[c].to_pylist() for c in ("keys", "sizes", "least", "text")), strict=True))
+        told = decide(messages, length)
         columns = [pa.array(c, pa.binary()) for c in zip(*told, strict=True)]
         return trimmed(pa.table([table["sender"], table["owner"], *columns], ["sender", "owner", "least", "several", "best"]))
 
     def finish(key, table, known):
-        import pyarrow as pa
-
         rows = known.to_pylist()
-        firsts = next((r["docnos"] for r in rows if r["docnos"] is not None), [])
+        firsts = {d for r in rows if r["docnos"] is not None for d in r["docnos"]}
         places = next((r["places"] for r in rows if r["places"] is not None), None)
         told = [(r["owner"], r["least"], r["several"], r["best"]) for r in rows if r["owner"] >= 0]
-        documents = list(first_documents(table, pa.table({"docnos": pa.array([firsts], pa.list_(pa.int32()))})))
-        where = covered(documents, _unpacked(places, np.int32).reshape(4, -1), told, length) if places is not None else {}
-        known_first, out = set(firsts), []
-        del documents, told, rows
-        for docno, doc_id, text in zip(table["docno"].to_pylist(), table["doc_id"].to_pylist(), table["text"], strict=True):
-            data = text.as_py().encode()
-            gone = where.get(docno)
-            if docno not in known_first:  # a copy of a text with a smaller doc_id
-                gone = np.full(len(data), len(data) >= length)
-            turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))).tolist() if gone is not None else []
-            spans = [{"start": a, "end": b} for a, b in zip(turns[0::2], turns[1::2], strict=True)]
-            kept = data if not spans else b"".join(data[a:b] for a, b in zip([0, *turns[1::2]], [*turns[0::2], len(data)], strict=True))
-            out.append((doc_id, len(data), spans, kept))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-        return trimmed(pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "spans", "kept"]))
+        of = covering(_unpacked(places, np.int32).reshape(4, -1), told, length) if places is not None else None
+        del places, told, rows
+
+        def ended(some):
+            """Rows of the result for (docno, owner id, bytes, doc_id)."""
+            where = of([x[:3] for x in some if x[0] in firsts]) if of and any(x[0] in firsts for x in some) else {}
+            for docno, _, data, doc_id in some:
+                gone = where.get(docno)
+                if docno not in firsts:  # a copy of a text with a smaller doc_id
+                    gone = np.full(len(data), len(data) >= length)
+                turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))).tolist() if gone is not None else []
+                spans = [{"start": a, "end": b} for a, b in zip(turns[0::2], turns[1::2], strict=True)]
+                kept = data if not spans else b"".join(data[a:b] for a, b in zip([0, *turns[1::2]], [*turns[0::2], len(data)], strict=True))
+                yield doc_id, len(data), spans, kept
+
+        def every():
+            some, held = [], 0
+            for docno, own, doc_id, text in zip(table["docno"].to_pylist(), table["_id"].to_pylist(), table["doc_id"].to_pylist(), table["text"], strict=True):
+                data = text.as_py().encode()
+                some.append((docno, own, data, doc_id))
+                held += len(data)
+                if held >= BATCH:
+                    yield from ended(some)
+                    some, held = [], 0
+            yield from ended(some)
+
+        return trimmed(in_batches(every(), "doc_id long, n_bytes long, spans spans, kept binary", lambda row: len(row[3]) + 16 * len(row[2])))
 
     left = staged.select("sender", "docno", "_id", "text").groupBy("sender")
     answers = exchange.answer(left.cogroup(control.groupBy("sender")).applyInArrow(send, exchange.MESSAGE), owners)

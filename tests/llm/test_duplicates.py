@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import tracemalloc
+import zlib
 
 import numpy as np
 import pytest
@@ -223,5 +225,35 @@ def test_repeated_spans(spark, monkeypatch, hot, collection, keys):
     assert sorted(key((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept))) for r in found) == substring_brute(rows)
 
 
+def test_repeated_spans_by_small_pieces(spark, monkeypatch):
+    """Owners decide a few short documents at once, and texts and results go in batches of a few bytes."""
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 3, raising=False)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 100, raising=False)
+    rnd = random.Random(5)
+    base = ["".join(rnd.choice("abcdefgh éñ") for _ in range(150)) for _ in range(4)]
+    rows = [(i, "".join(rnd.choice(base)[rnd.randint(0, 40) :] for _ in range(rnd.randint(0, 3)))) for i in range(40)]
+    found = suffix_dedup.repeated_spans(documents(spark, rows)).collect()
+    assert sorted(key((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept))) for r in found) == substring_brute(rows)
+
+
+def test_an_owner_holds_few_short_documents_as_objects(monkeypatch):
+    """The objects of all short documents at once took over 300 bytes each."""
+    rng, n = np.random.default_rng(1), 40_000
+    messages = []
+    for _ in range(5):
+        keys = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        text = rng.integers(97, 123, 60 * n).astype(np.uint8).tobytes()
+        messages.append((suffix_dedup._packed(keys), suffix_dedup._packed(np.full(n, 60, np.int32)), suffix_dedup._packed(np.arange(n)), zlib.compress(text, 1)))
+    messages.append(messages[0][:2] + (suffix_dedup._packed(np.arange(n) - 1),) + messages[0][3:])
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 4096, raising=False)
+    tracemalloc.start()
+    told = suffix_dedup.decide(messages, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    least = [suffix_dedup._unpacked(t[0], np.int64) for t in told]
+    assert all((x == np.arange(n) - (k in (0, 5))).all() for k, x in enumerate(least))
+    assert peak < 150 * 6 * n
+
+
 def test_no_documents(spark):
     assert suffix_dedup.repeated_spans(empty(spark)).count() == 0
