@@ -165,10 +165,17 @@ def find_licenses(docs: DataFrame, templates: DataFrame, containment: float = 0.
     around = F.slice("w", F.greatest(F.lit(1), F.col("start") + 1 - F.col("step")), F.col("s") + WORDS - 1 + 2 * F.col("step"))
     built = built.select("row", "doc_id", "s", "start", _bound(_bound(inside, lambda w: _shingles(w, _hash)), _bands).alias("bands"), _bound(around, lambda w: _shingles(w, _spelt)).alias("around"))
 
-    signed = known.select("template", "spelt", "s", F.posexplode(_bound(F.col("h"), _bands)).alias("band", "value"))
-    met = built.select("row", "doc_id", "s", "start", "around", F.posexplode("bands").alias("band", "value"))
-    met = met.join(near(signed), ["s", "band", "value"]).select("row", "doc_id", "template", "s", "start", "around", "spelt")
-    met = met.dropDuplicates(["row", "template", "start"])
+    if count <= MOST_SHINGLES:
+        # A band's number is in its value, so equal values are of the same band, and a window meets a template once.
+        signed = known.select("template", "spelt", "s", _bound(F.col("h"), _bands).alias("signed"))
+        met = built.join(F.broadcast(signed), "s").where(F.arrays_overlap("bands", "signed"))
+    else:
+        # A row for each band in common, but texts go along once a window and template.
+        signed = known.select("template", "s", F.posexplode(_bound(F.col("h"), _bands)).alias("band", "value"))
+        met = built.select("row", "s", "start", F.posexplode("bands").alias("band", "value"))
+        met = met.join(signed, ["s", "band", "value"]).select("row", "s", "start", "template").distinct()
+        met = built.join(met, ["row", "s", "start"]).join(known.select("template", "spelt"), "template")
+    met = met.select("row", "doc_id", "template", "s", "start", "around", "spelt")
     share = F.size(F.array_intersect("around", "spelt")) / F.size("spelt")
     found = met.select("row", "doc_id", "template", "s", "start", share.alias("containment")).where(F.col("containment") >= containment)
     # Windows of a template that overlap are one place.

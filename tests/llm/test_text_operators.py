@@ -69,6 +69,16 @@ def test_recall_of_the_bands_alone(spark):
     assert told >= 0.999
 
 
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_a_window_goes_on_once_a_template(spark, monkeypatch, most):
+    """A window and a template with many bands in common made a row a band, each with both texts' shingles."""
+    monkeypatch.setattr(licenses, "MOST_SHINGLES", most)
+    rows = [(1, licenses.TEMPLATES["MIT (text)"])]
+    plan = licenses.find_licenses(documents(spark, rows), licenses.templates(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in plan or most == 0
+    assert "first(around" not in plan and "first(spelt" not in plan
+
+
 def test_license_edges(spark):
     assert licenses.find_licenses(empty(spark), licenses.templates(spark)).count() == 0
     short = spark.createDataFrame([("t", "too short"), ("u", None)], "template string, text string")
