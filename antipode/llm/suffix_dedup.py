@@ -306,6 +306,8 @@ def decide(messages: list[tuple], length: int) -> list[tuple[bytes, bytes, bytes
     out = [([], [], []) for _ in parts]
     for r in range(len(bounds) + 1):
         ranges = [(e[r], e[r + 1]) for e in edges]
+        if not any(a < b for a, b in ranges):  # the smallest key fills a range
+            continue
         some = [(key[a:b].tolist(), _texts(text[cuts[a] : cuts[b]], np.diff(cuts[a : b + 1])), least[a:b].tolist()) for (key, cuts, least, text), (a, b) in zip(parts, ranges, strict=True)]
         for told, (a, _), found in zip(out, ranges, _decide(some, length), strict=True):
             for to, x in zip(told, (found[0], found[1] + np.int32(a), found[2]), strict=True):
