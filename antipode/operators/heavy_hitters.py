@@ -62,7 +62,6 @@ def summaries(tokens: DataFrame, counters: int) -> DataFrame:
     are counted ahead in Arrow, so the summary is asked once for each distinct word of ``AHEAD``."""
 
     def summarise(batches):
-        import pandas as pd
         import pyarrow as pa
 
         sketch, ahead, size = SpaceSaving(counters), [], 0
@@ -80,9 +79,10 @@ def summaries(tokens: DataFrame, counters: int) -> DataFrame:
         if ahead:
             take()
         least = sketch.minimum()
-        rows = pd.DataFrame({"word": list(sketch.count), "count": list(sketch.count.values()), "epsilon": [sketch.epsilon[w] for w in sketch.count], "least": least})
+        rows = {"word": list(sketch.count), "count": list(sketch.count.values()), "epsilon": [sketch.epsilon[w] for w in sketch.count], "least": [least] * len(sketch.count)}
         kinds = pa.schema([("word", pa.string()), ("count", pa.float64()), ("epsilon", pa.float64()), ("least", pa.float64())])
-        yield pa.RecordBatch.from_pandas(rows, kinds, preserve_index=False)
+        # A task may have no words, as where its piece of a file holds no row group; nothing tells the kinds of empty columns then.
+        yield pa.RecordBatch.from_pydict(rows, kinds)
         yield pa.RecordBatch.from_pylist([{"word": None, "count": least, "epsilon": 0.0, "least": least}], kinds)
 
     return tokens.select("word").mapInArrow(summarise, "word string, count double, epsilon double, least double")

@@ -264,6 +264,28 @@ def test_stream_summary_is_bounded(spark, tmp_path):
     assert {w for w, _ in true.most_common(5)} <= {r["word"] for r in found}
 
 
+def test_tasks_without_words_are_summarised(spark):
+    tokens = spark.range(0, 40, 1, 4).where("id < 10").selectExpr("concat('w', id % 3) AS word")  # three of four tasks have none
+    assert tokens.rdd.glom().map(len).collect() == [10, 0, 0, 0]
+    found = {r["word"]: (r["count"], r["epsilon"]) for r in heavy_hitters(tokens, 5).collect()}
+    assert found == {"w0": (4.0, 0.0), "w1": (3.0, 0.0), "w2": (3.0, 0.0)}
+    assert heavy_hitters(tokens.where("word = ''"), 5).collect() == []
+
+
+@pytest.mark.parametrize("words", [["b", "a", "b", "c", "b"], []])
+def test_stream_summary_over_pieces_without_rows(spark, tmp_path, words):
+    path, most = str(tmp_path / "texts"), "spark.sql.files.maxPartitionBytes"
+    spark.createDataFrame([(" ".join(words),)] * 300, "text string").coalesce(1).write.parquet(path)  # one row group
+    before = spark.conf.get(most)
+    spark.conf.set(most, "200")  # many pieces, one of which has the row group
+    try:
+        assert spark.read.parquet(path).rdd.getNumPartitions() > 1
+        found = {r["word"]: (r["count"], r["epsilon"]) for r in word_counts.stream_heavy_hitters(spark, path, 10).collect()}
+    finally:
+        spark.conf.set(most, before)
+    assert found == {w: (300.0 * n, 0.0) for w, n in Counter(words).items()}
+
+
 def test_summaries_merge_within_bounds(spark):
     rnd = random.Random(8)
     words = [[f"w{int(rnd.paretovariate(0.8))}" for _ in range(900)] for _ in range(3)]
